@@ -23,12 +23,12 @@ EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{1F1E6}-\x{1F1FF}]"
 DECORATION = r"[\x{1F300}-\x{1FAFF}\x{2190}-\x{21FF}\x{2600}-\x{27BF}]"
 
 
-def count(text: Column, pattern: str) -> Column:
+def count(text: Column, pattern: str | Column) -> Column:
     """Number of matches of a pattern; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
-def extract(text: Column, pattern: str, group: int = 0) -> Column:
+def extract(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """All matches of a pattern, or of one of its groups; empty for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
@@ -112,7 +112,7 @@ def per_thousand(n: Column, of: Column) -> Column:
     return F.coalesce(F.try_divide(n * F.lit(1000.0), of), F.lit(0.0))
 
 
-def spans(text: Column, pattern: str, limit: int = 20) -> Column:
+def spans(text: Column, pattern: str | Column, limit: int = 20) -> Column:
     """array<struct<start,end,text>> of the first matches. The pattern must not match the empty string.
 
     One fold over the matches and the gaps before them, so the text is searched twice however many matches it has.

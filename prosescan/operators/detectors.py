@@ -9,6 +9,7 @@ Defined results: null text has no findings; an unknown rule makes its detector s
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from prosescan.functions import text as T
 from prosescan.plans import lexicon, patterns
+from prosescan.sources.tables import spread
 
 # Patterns and limits of the detectors.
 BOLD = r"\*\*[^*\n]+\*\*"
@@ -45,7 +47,7 @@ def prepared(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:
     moments of sentence lengths in tokens (rhythm) and in words (spaced).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), *keep)
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), *keep))
     t = F.col("text")
     rows = rows.select("*", T.language(t).alias("language"), F.lower(t).alias("lower"), T.sentences(t).alias("sentences"), T.tokens(t).alias("tokens"), T.words(t).alias("words"))
     lengths = F.transform("sentences", lambda s: F.size(T.tokens(s)).cast("double"))
@@ -158,35 +160,52 @@ def _made(rule: str, detector: str, family: str, fired: Column, confidence: Colu
     return F.when(fired, shape)
 
 
-def present(p: patterns.Pattern) -> Column:
-    """Whether a phrase can match at all, by plain search in the lower-case text: it spares the regular expression for nearly all texts."""
-    if not p.needles:
-        return F.lit(True)
-    hits = [F.contains(F.col("lower"), F.lit(n)) for n in p.needles]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out | h
-    return out
-
-
-def lexical_detectors(text: Column) -> list[Column]:
-    """Watched phrases and templates: one finding per rule, as sure as its surest pattern that matched."""
-    out = []
-    for kind, detector in (("literal", "lexical.watched_phrases"), ("template", "structural.templates")):
-        by_rule: dict[str, list[patterns.Pattern]] = {}
-        for lang in ("en", "zh", None):
-            for p in patterns.compiled(lang)[0] if lang else []:
-                if p.kind == kind and p not in by_rule.setdefault(p.rule_id, []):
-                    by_rule[p.rule_id].append(p)
-        langs = {r["rule_id"]: r["languages"] for r in lexicon.rules()}
-        for rule, own in by_rule.items():
-            hits = F.flatten(F.array(*[F.when(present(p), T.spans(text, p.pattern, 5)).otherwise(_nothing()) for p in own]))
-            best = F.greatest(*[F.when(present(p) & text.rlike(p.pattern), p.confidence) for p in own], F.lit(None).cast("double"), F.lit(None).cast("double"))
-            category = rule.split(".")[0]
-            family = "lexical" if kind == "literal" else {"formatting": "structural", "chat": "assistant"}.get(category, category)
-            applies = F.col("language").isin(langs[rule]) | (F.col("language") == "unknown")
-            out.append(_made(rule, detector, family, applies & best.isNotNull(), best, F.slice(F.array_sort(hits), 1, 5)))
-    return out
+def watched(kinds: Iterable[str] = ("literal", "template"), more: Iterable[patterns.Pattern] = ()) -> Column:
+    """The watched phrases, and more of them, as one constant array, so that a plan's size doesn't grow with them."""
+    langs = {r["rule_id"]: r["languages"] for r in lexicon.rules()}
+    families = {"formatting": "structural", "chat": "assistant"}
+    rows = []
+    for p in [*patterns.compiled()[0], *more]:
+        if p.kind in kinds:
+            category = p.rule_id.split(".")[0]
+            literal = p.kind == "literal"
+            rows.append({
+                "rule_id": p.rule_id, "phrase": p.phrase, "detector_id": "lexical.watched_phrases" if literal else "structural.templates", "family": "lexical" if literal else families.get(category, category),
+                "severity": lexicon.severity(p.rule_id), "confidence": p.confidence, "languages": langs.get(p.rule_id, ["en", "zh"]), "needles": list(p.needles), "pattern": p.pattern,
+            })
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,phrase:string,detector_id:string,family:string,severity:int,confidence:double,languages:array<string>,needles:array<string>,pattern:string>>")
+
+
+def present(phrases: Column) -> Column:
+    """The phrases that can match a prepared text at all, by plain search in its lower-case form: it spares nearly all regular expressions."""
+    return F.filter(phrases, lambda p: (F.size(p["needles"]) == 0) | F.exists(p["needles"], lambda n: F.contains(F.col("lower"), n)))
+
+
+def phrase_counts(docs: DataFrame, kinds: Iterable[str], more: Iterable[patterns.Pattern] = ()) -> DataFrame:
+    """(doc_id, rule_id, phrase, n) of every watched phrase in every prepared text that has it, whatever its language."""
+    found = F.transform(present(watched(kinds, more)), lambda p: F.struct(p["rule_id"].alias("rule_id"), p["phrase"].alias("phrase"), T.count(F.col("text"), p["pattern"]).alias("n")))
+    return docs.select("doc_id", F.inline(F.filter(found, lambda x: x["n"] > 0)))
+
+
+def phrase_matches(text: Column) -> Column:
+    """Matches of the phrases that apply to the text's language, up to five spans of each."""
+    apply = F.filter(present(watched()), lambda p: F.array_contains(p["languages"], F.col("language")) | (F.col("language") == "unknown"))
+    shown = ("rule_id", "detector_id", "family", "severity", "confidence")
+    found = F.transform(apply, lambda p: F.struct(*[p[c].alias(c) for c in shown], T.spans(text, p["pattern"], 5).alias("evidence")))
+    return F.filter(found, lambda x: F.size(x["evidence"]) > 0)
+
+
+def lexical_detectors(text: Column) -> Column:
+    """Watched phrases and templates: one finding per rule and detector, as sure as its surest match. For a row that has ``matches``."""
+    matches = F.col("matches")
+    rules = F.array_distinct(F.transform(matches, lambda m: F.struct(m["rule_id"].alias("rule_id"), m["detector_id"].alias("detector_id"), m["family"].alias("family"), m["severity"].alias("severity"))))
+
+    def merged(r: Column) -> Column:
+        own = F.filter(matches, lambda m: (m["rule_id"] == r["rule_id"]) & (m["detector_id"] == r["detector_id"]))
+        evidence = F.slice(F.array_sort(F.flatten(F.transform(own, lambda m: m["evidence"]))), 1, 5)
+        return F.struct(*[r[c].alias(c) for c in ("rule_id", "detector_id", "family", "severity")], F.array_max(F.transform(own, lambda m: m["confidence"])).alias("confidence"), evidence.alias("evidence"))
+
+    return F.transform(rules, merged)
 
 
 def structural_detectors(text: Column) -> list[Column]:
@@ -259,7 +278,7 @@ def stylometry_detectors(text: Column) -> list[Column]:
 
 
 #: Detectors in the order in which a cap on raw findings counts them, by the families that they may report.
-DETECTORS: list[tuple[set[str], Callable[[Column], list[Column]]]] = [
+DETECTORS: list[tuple[set[str], Callable[[Column], Column | list[Column]]]] = [
     ({"lexical", "structural", "rhythm", "assistant", "chinese"}, lexical_detectors),
     ({"structural"}, structural_detectors),
     ({"rhythm"}, rhythm_detectors),
@@ -269,16 +288,19 @@ DETECTORS: list[tuple[set[str], Callable[[Column], list[Column]]]] = [
 ]
 
 
-def findings(docs: DataFrame, families: Iterable[str] | None = None, most: int = 500, only: Iterable[Callable[[Column], list[Column]]] | None = None) -> DataFrame:
+def findings(docs: DataFrame, families: Iterable[str] | None = None, most: int = 500, only: Iterable[Callable[[Column], Column | list[Column]]] | None = None) -> DataFrame:
     """Raw findings (doc_id, ord, rule_id, detector_id, family, severity, confidence, evidence) of prepared texts.
 
     At most ``most`` findings of a text are kept, in the order of the detectors; ``only`` names the detectors that run.
     """
     chosen = None if families is None else set(families)
     run = [f for own, f in DETECTORS if (chosen is None or own & chosen) and (only is None or f in only)]
-    found = [x for f in run for x in f(F.col("text")) if x is not None]
-    if not found:
+    if not run:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ord int, {FINDING}")
-    kept = F.filter(F.array(*found), lambda x: x.isNotNull() if chosen is None else x.isNotNull() & x["family"].isin(sorted(chosen)))
+    text = F.col("text")
+    if lexical_detectors in run:
+        docs = docs.withColumn("matches", phrase_matches(text))
+    parts = [lexical_detectors(text) if f is lexical_detectors else F.array(*[x for x in f(text) if x is not None]) for f in run]
+    kept = F.filter(F.concat(*parts), lambda x: x.isNotNull() if chosen is None else x.isNotNull() & x["family"].isin(*sorted(chosen)))
     rows = docs.select("doc_id", F.posexplode(F.slice(kept, 1, most)).alias("ord", "f"))
     return rows.select("doc_id", "ord", "f.*")

@@ -17,7 +17,7 @@ from prosescan.functions.numbers import clamp_severity
 def severity_by(policy: str, severity: Column) -> Column:
     """Aggregate of severities: 'max', 'median' or 'mean', rounded half up and clamped; 3 without any."""
     value = {"max": F.max(severity), "median": F.percentile(severity, F.lit(0.5)), "mean": F.avg(severity)}[policy]
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), F.floor(value + 0.5).cast("int"))), F.lit(3))
+    return F.when(value.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), F.floor(value + 0.5).cast("int")))).otherwise(3)
 
 
 def canonical_rules(candidates: DataFrame, specs: DataFrame, policy: str = "max", aliases: dict[str, str] | None = None) -> DataFrame:

@@ -71,11 +71,11 @@ def is_prose(family: Column, rule: Column) -> Column:
 
 
 def anti_ai_scores(collapsed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_findings, anti_ai_score) of every document; 1 where nothing fired."""
+    """(doc_id, n_findings, anti_ai_score, rules) of every document; 1 where nothing fired. There are few rules, so a document's list is short."""
     weight = F.when(is_prose(F.col("family"), F.col("rule_id")), F.col("severity") / 5 * F.col("confidence")).otherwise(0.0)
-    charged = collapsed.groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.sum(weight).alias("weight"))
+    charged = collapsed.groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.sum(weight).alias("weight"), F.sort_array(F.collect_set("rule_id")).alias("rules"))
     scored = docs.select("doc_id").join(charged, "doc_id", "left")
-    return scored.select("doc_id", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), clamp_score(1 - F.coalesce("weight", F.lit(0.0)) / BUDGET).alias("anti_ai_score"))
+    return scored.select("doc_id", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), clamp_score(1 - F.coalesce("weight", F.lit(0.0)) / BUDGET).alias("anti_ai_score"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
 
 
 def composed(anti_ai: Column, voice: Column, behavior: Column, preservation: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prosescan.functions import text as T
 from prosescan.operators import behavior, contract, detectors, protected, scoring, voice
 from prosescan.plans import lexicon, patterns
-from prosescan.sources.tables import table
+from prosescan.sources.tables import spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -73,19 +73,22 @@ def english_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n.cast("bigint").alias("n_words"), passives.cast("bigint").alias("n_passive"), dropped.cast("bigint").alias("n_subjectless"), (gate & (passives >= 3) & (T.per_thousand(passives, n) >= 12)).alias("passive"), (gate & (dropped >= 2)).alias("subjectless"))
 
 
+#: A watch list of one's own beside the rules'.
+OWN = [p for p in (patterns.literal("own.watch_list", t) for t in ("worth the walk", "in most cases", "no idea / not sure", "the build took", "Hm.", "大家都在", "只剩下 / 只好")) if p]
+
+
+def _phrase_totals(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    each = detectors.phrase_counts(_docs(spark, sf_dir), [kind], OWN)
+    return each.groupBy("rule_id", "phrase").agg(F.count("*").alias("n_docs"), F.sum("n").cast("bigint").alias("n_hits"))
+
+
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and matches of every watched phrase; each document is read once for all phrases."""
-    compiled = [p for p in patterns.compiled()[0] if p.kind == "literal"]
-    counts = F.array(*[F.struct(F.lit(p.rule_id).alias("rule_id"), F.lit(p.phrase).alias("phrase"), F.when(detectors.present(p), T.count(F.col("text"), p.pattern)).otherwise(0).cast("bigint").alias("n")) for p in compiled])
-    each = _docs(spark, sf_dir).select(F.inline(F.filter(counts, lambda x: x["n"] > 0)))
-    return each.groupBy("rule_id", "phrase").agg(F.count("*").alias("n_docs"), F.sum("n").cast("bigint").alias("n_hits"))
+    return _phrase_totals(spark, sf_dir, "literal")
 
 
 def template_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compiled = [p for p in patterns.compiled()[0] if p.kind == "template"]
-    counts = F.array(*[F.struct(F.lit(p.rule_id).alias("rule_id"), F.lit(p.phrase).alias("phrase"), F.when(detectors.present(p), T.count(F.col("text"), p.pattern)).otherwise(0).cast("bigint").alias("n")) for p in compiled])
-    each = _docs(spark, sf_dir).select(F.inline(F.filter(counts, lambda x: x["n"] > 0)))
-    return each.groupBy("rule_id", "phrase").agg(F.count("*").alias("n_docs"), F.sum("n").cast("bigint").alias("n_hits"))
+    return _phrase_totals(spark, sf_dir, "template")
 
 
 def _kept(spark: SparkSession, docs: DataFrame, families: list[str] | None = None) -> DataFrame:
@@ -112,9 +115,7 @@ def prose_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     found = detectors.findings(docs, only=(detectors.rhythm_detectors, detectors.structural_detectors, detectors.stylometry_detectors)).where(F.col("rule_id").isin(*PROSE_TELLS))
     merged = scoring.collapse(found)
-    rules = merged.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("rule_id")), ",").alias("rules"))
-    scored = scoring.anti_ai_scores(merged, docs).join(rules, "doc_id", "left")
-    return scored.select("doc_id", *_long("n_findings"), *_round("anti_ai_score"), F.coalesce("rules", F.lit("")).alias("rules"))
+    return scoring.anti_ai_scores(merged, docs).select("doc_id", *_long("n_findings"), *_round("anti_ai_score"), F.array_join("rules", ",").alias("rules"))
 
 
 def findings_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,7 @@ def findings_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "user_turn", "advice_permission")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "user_turn", "advice_permission"))
 
 
 def turn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +151,12 @@ def behavior_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def punctuation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("lang", F.explode(voice.punctuation_rates(F.col("text"))).alias("mark", "rate"))
+    rows = spread(table(spark, sf_dir, "documents").where("text is not null")).select("lang", F.explode(voice.punctuation_rates(F.col("text"))).alias("mark", "rate"))
     return rows.groupBy("lang", "mark").agg(F.count("*").alias("n_docs"), F.round(F.avg("rate"), 3).alias("mean_rate"))
 
 
 def _voices(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return voice.features(table(spark, sf_dir, "documents"), "doc_id", "text", *keep)
+    return voice.features(spread(table(spark, sf_dir, "documents")), "doc_id", "text", *keep)
 
 
 def signature_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +194,7 @@ def voice_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def protected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = protected.protected_items(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = protected.protected_items(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
     return rows.select("doc_id", "kind", "value", F.col("occurrences").cast("bigint").alias("occurrences"))
 
 
@@ -203,7 +204,7 @@ def protected_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preservation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the next one of its source, as if that were its rewrite."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rewritten = docs.select("doc_id", F.regexp_replace("text", "[13579]", "2").alias("text"))
     states = protected.preservation(protected.protected_items(docs, "doc_id", "text"), rewritten, "doc_id", "text")
     return protected.preservation_scores(states).select("doc_id", *_long("n_items", "kept", "altered", "lost"), *_round("preservation_score"))
@@ -321,7 +322,7 @@ prof AS (
 
 def _literal_values() -> str:
     rows = []
-    for p in patterns.compiled()[0]:
+    for p in [*patterns.compiled()[0], *OWN]:
         if p.kind == "literal":
             word = lambda c: c.isascii() and (c.isalnum() or c == "_")
             body = "|".join(patterns.quoted(w) for w in p.spellings)

@@ -121,13 +121,13 @@ def score_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("config_id", "score", *_long("n_subject", "n_control"), *_round("separation"))
 
 
-STEPS = [("baseline", "anti-ai"), ("baseline", "voice"), ("baseline", "behavior"), ("anti-ai", "anti-ai+voice"), ("anti-ai", "anti-ai+behavior"), ("anti-ai+voice", "full")]
+STEPS = [("baseline", "anti-only"), ("baseline", "voice-only"), ("baseline", "behaviour-only"), ("anti-only", "anti-voice"), ("anti-voice", "everything"), ("no-suppression", "everything")]
 
 
 def config_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = evaluate.summary_cells(_results(spark, sf_dir), "config_id", "category")
     rows = evaluate.config_deltas(cells, spark.createDataFrame(STEPS, "from_config string, to_config string"))
-    return rows.select("from_config", "to_config", "category", "score", *_round("before", "after", "delta"), "outcome")
+    return rows.select("from_config", "to_config", "category", "score", *_round("before", "after", "delta", places=9), "outcome")
 
 
 def unmeasured_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def unmeasured_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full configuration against the anti-AI one, as if they were two runs: mean deltas by presence."""
     rows = _results(spark, sf_dir).groupBy("doc_id", "config_id").agg(*[F.avg(s).alias(s) for s in evaluate.SCORES])
-    both = evaluate.compare_runs(rows.where("config_id = 'anti-ai'"), rows.where("config_id = 'full'"), ["doc_id"])
+    both = evaluate.compare_runs(rows.where("config_id = 'anti-only'"), rows.where("config_id = 'everything'"), ["doc_id"])
     return both.groupBy("presence").agg(F.count("*").alias("n"), *[F.round(F.avg(f"{s}_delta"), 6).alias(f"{s}_delta") for s in evaluate.SCORES])
 
 
@@ -304,7 +304,7 @@ SELECT config_id, score, n_subject, n_control, round((won / nullif(n_subject * n
     "config_deltas": f"""
 WITH {RESULTS}, {LONG}, cells AS (SELECT config_id, category, score, avg(value) AS mean FROM longs GROUP BY ALL),
 steps(f, t) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in STEPS)})
-SELECT f AS from_config, t AS to_config, a.category, a.score, round(a.mean, 6) AS before, round(b.mean, 6) AS after, round(b.mean - a.mean, 6) AS delta,
+SELECT f AS from_config, t AS to_config, a.category, a.score, round(a.mean, 9) AS before, round(b.mean, 9) AS after, round(b.mean - a.mean, 9) AS delta,
   CASE WHEN a.mean IS NULL AND b.mean IS NULL THEN 'unmeasured' WHEN a.mean IS NULL THEN 'introduced' WHEN b.mean IS NULL THEN 'withdrawn' ELSE 'delta' END AS outcome
 FROM steps JOIN cells a ON a.config_id = f JOIN cells b ON b.config_id = t AND a.category IS NOT DISTINCT FROM b.category AND a.score = b.score WHERE a.category IS NOT NULL
 """,
@@ -312,7 +312,7 @@ FROM steps JOIN cells a ON a.config_id = f JOIN cells b ON b.config_id = t AND a
     "run_comparison": f"""
 WITH {RESULTS}, m AS (SELECT doc_id, config_id, avg(anti_ai_score) AS a, avg(voice_score) AS v, avg(behavior_score) AS b, avg(preservation_score) AS p FROM res GROUP BY ALL),
 x AS (SELECT CASE WHEN n.doc_id IS NULL THEN 'only before' WHEN o.doc_id IS NULL THEN 'only after' ELSE 'both' END AS presence, n.a - o.a AS a, n.v - o.v AS v, n.b - o.b AS b, n.p - o.p AS p
-  FROM (SELECT * FROM m WHERE config_id = 'anti-ai') o FULL JOIN (SELECT * FROM m WHERE config_id = 'full') n ON o.doc_id = n.doc_id)
+  FROM (SELECT * FROM m WHERE config_id = 'anti-only') o FULL JOIN (SELECT * FROM m WHERE config_id = 'everything') n ON o.doc_id = n.doc_id)
 SELECT presence, count(*) AS n, round(avg(a), 6) AS anti_ai_score_delta, round(avg(v), 6) AS voice_score_delta, round(avg(b), 6) AS behavior_score_delta, round(avg(p), 6) AS preservation_score_delta FROM x GROUP BY presence
 """,
     "rule_changes": f"""
