@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosescan.llm import bpe, formatdup, lookalike, neardup, packing, quality
-from prosescan.sources.tables import table
+from prosescan.sources.tables import spread, table
 
 #: Tokens that a container of p7_packed holds.
 CAPACITY = 2048
@@ -15,12 +15,12 @@ PAYLOAD = ["text", "kind", "match", "note"]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.NearDuplicates(table(spark, sf_dir, "extracted_rules"), "rule_id", RULE_TEXT)
+    found = neardup.NearDuplicates(spread(table(spark, sf_dir, "extracted_rules").select("rule_id", *RULE_TEXT)), "rule_id", RULE_TEXT)
     return found.pairs().select(F.col("a").alias("rule_a"), F.col("b").alias("rule_b"))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.NearDuplicates(table(spark, sf_dir, "extracted_rules"), "rule_id", RULE_TEXT)
+    found = neardup.NearDuplicates(spread(table(spark, sf_dir, "extracted_rules").select("rule_id", *RULE_TEXT)), "rule_id", RULE_TEXT)
     return found.groups().withColumnRenamed("id", "rule_id")
 
 
@@ -40,28 +40,28 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon, specs = table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "signature_specs")
     bigrams = lookalike.letter_bigrams(lexicon.select(F.col("phrase").alias("t")).union(specs.select(F.col("description").alias("t"))), "t")
-    phrases = lookalike.look_alike_matches(table(spark, sf_dir, "watch_phrases"), "phrase_id", "text", lexicon, "lex_id", "phrase", bigrams)
-    rules = lookalike.look_alike_matches(table(spark, sf_dir, "extracted_rules"), "rule_id", "description", specs, "signature", "description", bigrams)
+    phrases = lookalike.look_alike_matches(spread(table(spark, sf_dir, "watch_phrases").select("phrase_id", "text")), "phrase_id", "text", lexicon, "lex_id", "phrase", bigrams)
+    rules = lookalike.look_alike_matches(spread(table(spark, sf_dir, "extracted_rules").select("rule_id", "description")), "rule_id", "description", specs, "signature", "description", bigrams)
     named = lambda df, field: df.select(F.lit(field).alias("field_name"), "row_id", "ref_id")
     return named(phrases, "phrase").unionByName(named(rules, "description"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(bpe.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
+    return packing.pack(bpe.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = quality.text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")
+    stats = quality.text_statistics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     ratios = [F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "line_end_share", "common_share")]
     return stats.select("doc_id", "n_chars", "n_words", "n_lines", *ratios)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "shape").where("shape is not null")
+    return quality.text_statistics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "shape").where("shape is not null")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_records, p4_found, p6_ids, p7_packed, p8_stats, p8_found)}
