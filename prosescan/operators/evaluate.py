@@ -34,15 +34,21 @@ def flags(results: DataFrame, *by: str) -> DataFrame:
     return results.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("anti_ai_score") < FLAGGED).alias("flagged"), F.count_if(F.col("behavior_score") < ASSISTANT_SHAPED).alias("assistant_shaped"))
 
 
-def separation(values: DataFrame, value: str, subject: str, by: Sequence[str] = ()) -> DataFrame:
+def separation(values: DataFrame, value: str, subject: str, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
     """(by, n_subject, n_control, separation): the share of pairs in which a subject exceeds a control, ties half; null if one side is empty.
 
-    ``subject`` is a boolean column. Equal values are counted together and ranked by running sums.
+    ``subject`` is a boolean column. Equal values are counted together; ranks are running sums within
+    buckets of values between 0 and 1 and over the buckets' totals, so no task orders all values.
     """
     keys = list(by)
-    counts = values.where(F.col(value).isNotNull() & F.col(subject).isNotNull()).groupBy(*keys, value).agg(F.count_if(subject).alias("a"), F.count_if(~F.col(subject)).alias("b"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("won", F.col("a") * (F.coalesce(F.sum("b").over(below), F.lit(0)) + F.col("b") / 2))
+    counts = values.where(F.col(value).isNotNull() & F.col(subject).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count_if(subject).alias("a"), F.count_if(~F.col(subject)).alias("b"))
+    # a monotonic bucket: what lies outside the range of scores shares the outermost ones
+    counts = counts.withColumn("_k", F.floor(F.greatest(F.lit(-0.001), F.least(F.lit(1.001), F.col("_v"))) * buckets))
+    totals = counts.groupBy(*keys, "_k").agg(F.sum("b").alias("_n"))
+    before = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_k", F.coalesce(F.sum("_n").over(before(keys or [F.lit(0)], "_k")), F.lit(0)).alias("_base"))
+    below = F.coalesce(F.sum("b").over(before([*keys, "_k"], "_v")), F.lit(0))
+    ranked = counts.withColumn("_below", below).join(totals, [*keys, "_k"]).withColumn("won", F.col("a") * (F.col("_base") + F.col("_below") + F.col("b") / 2))
     sums = ranked.groupBy(*keys).agg(F.sum("a").alias("n_subject"), F.sum("b").alias("n_control"), F.sum("won").alias("won"))
     return sums.select(*keys, "n_subject", "n_control", F.try_divide("won", F.col("n_subject") * F.col("n_control")).alias("separation"))
 
@@ -97,7 +103,7 @@ def stratified_draw(rows: DataFrame, cell: str, position: str, limit: int) -> Da
     """
     w = Window.partitionBy(cell).orderBy(position)
     first = rows.groupBy(cell).agg(F.min(position).alias("_first"))
-    ranked = rows.withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= limit).join(F.broadcast(first), cell)
+    ranked = rows.withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= limit).join(first, cell)
     drawn = ranked.orderBy("_turn", "_first").limit(limit)
     return drawn.drop("_turn", "_first")
 
@@ -125,6 +131,16 @@ def cofiring(rows: DataFrame, rules: Sequence[str]) -> DataFrame:
     return rows.agg(F.array(*structs).alias("x")).select(F.inline("x"))
 
 
+# Openings by which a reply declines or packages its task instead of answering.
+REFUSAL = r"^\s*(?:(?:很?抱歉|对不起|不好意思)[，,]?\s*我(?:无法|不能|不可以|没办法)|作为一[个名]\s*(?:AI|人工智能)|我(?:无法|不能)(?:回答|提供|参与|继续|协助)|以下是(?:整理|修改|改写|优化|润色)|希望(?:这些|以上|这)对你有(?:所)?帮助)"
+LEAST_REPLY, MOST_REPLY = 2, 400
+
+
+def is_refusal(reply: Column) -> Column:
+    """Whether a reply declines its task or wraps it up; a chat apology doesn't."""
+    return F.coalesce(reply.rlike(REFUSAL), F.lit(False))
+
+
 def rule_class(fired_a: Column, fired_b: Column, least: int = 4) -> Column:
     """'A' where only machine text fires, 'B' where both do, 'C' where human text fires more; null below the floor of firings."""
     return F.when(fired_a + fired_b < least, None).when(fired_a == 0, "A").when(fired_b > fired_a, "B").otherwise("C")

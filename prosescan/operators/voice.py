@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from prosescan.functions import text as T
 from prosescan.functions.numbers import blend_distributions, blend_rates, clamp_score, punctuation_score, tolerance_score
 from prosescan.operators.behavior import has_marker
+from prosescan.plans import lexicon
 
 # Punctuation marks, stop words, shorthand, weights and limits.
 MARKS = ["。", "，", "、", "；", "：", "！", "？", "…", "—", "“", ".", ",", ";", ":", "!", "?", "...", "-", '"', "'", "(", ")"]
@@ -52,10 +53,9 @@ def punctuation_rates(text: Column, marks: Sequence[str] = MARKS, per: float = 1
 
 def content_units(text: Column) -> Column:
     """Latin words of more than one letter and pairs of neighbouring CJK characters, without stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS.split()])
     ts = T.tokens(text)
     cjk = lambda t: t.rlike(rf"^[{T.CJK}]\z")
-    ok = lambda t: ~F.array_contains(stop, t)
+    ok = lambda t: ~t.isin(*STOP_WORDS.split())
 
     def unit(x: Column) -> Column:
         t, after = x["t"], x["after"]
@@ -109,16 +109,17 @@ def profiles(texts: DataFrame, by: Sequence[str]) -> DataFrame:
     for name in ("sentence", "paragraph"):
         for k, c in _pooled(F.col(f"{name}_lengths")).items():
             pooled.append(c.alias(f"{name}_{k}"))
-    base = some.groupBy(*by).agg(*pooled, F.avg("burstiness").alias("burstiness"), F.sum("n_chars").alias("n_chars"), F.count("*").alias("n_texts"))
+    # one sum per mark, so that one pass over the texts gives everything but the vocabulary
+    weighed = [F.sum(F.coalesce(F.try_element_at("rates", F.lit(m)), F.lit(0.0)) * F.col("n_chars")).alias(f"mark_{i}") for i, m in enumerate(MARKS)]
+    base = some.groupBy(*by).agg(*pooled, *weighed, F.avg("burstiness").alias("burstiness"), F.sum("n_chars").alias("n_chars"), F.count("*").alias("n_texts"))
     for name in ("sentence", "paragraph"):
         m = F.try_divide(F.col(f"{name}_sum"), F.col(f"{name}_n"))
         v = F.greatest(F.lit(0.0), F.try_divide(F.col(f"{name}_squares"), F.col(f"{name}_n")) - m * m)
         base = base.withColumn(f"{name}_mean", F.coalesce(m, F.lit(0.0))).withColumn(f"{name}_spread", F.coalesce(F.sqrt(v), F.lit(0.0))).drop(f"{name}_sum", f"{name}_squares")
-    weighed = some.select(*by, "n_chars", F.explode("rates").alias("mark", "rate")).groupBy(*by, "mark").agg(F.sum(F.col("rate") * F.col("n_chars")).alias("weight"))
-    totals = some.groupBy(*by).agg(F.sum("n_chars").alias("all_chars"))
-    rates = weighed.join(totals, list(by)).groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("mark", F.round(F.try_divide("weight", "all_chars"), 4))))).alias("rates"))
-    out = base.join(rates, list(by), "left").join(signature_vocabulary(some, by), list(by), "left")
-    return out.withColumn("rates", F.coalesce("rates", F.create_map().cast("map<string,double>"))).withColumn("vocabulary", F.coalesce("vocabulary", F.array().cast("array<string>"))).withColumn("thin", F.col("sentence_n") < THIN)
+    rates = F.array(*[F.struct(F.lit(m).alias("k"), F.round(F.coalesce(F.try_divide(F.col(f"mark_{i}"), F.col("n_chars")), F.lit(0.0)), 4).alias("v")) for i, m in enumerate(MARKS)])
+    base = base.withColumn("rates", F.map_from_entries(F.filter(rates, lambda x: x["v"] > 0))).drop(*[f"mark_{i}" for i in range(len(MARKS))])
+    out = base.join(signature_vocabulary(some, by), list(by), "left")
+    return out.withColumn("vocabulary", F.coalesce("vocabulary", F.array().cast("array<string>"))).withColumn("thin", F.col("sentence_n") < THIN)
 
 
 def without_self(texts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -172,6 +173,34 @@ def compare(texts: DataFrame, profile: DataFrame, by: Sequence[str], avoid: str
     return rows.select("doc_id", F.inline(each))
 
 
+# Rule and least deficit of the dimensions that are reported.
+REPORTED = {"sentenceLength": ("stylometry.fingerprint_sentence_length", 0.3), "punctuation": ("stylometry.fingerprint_punctuation", 0.5), "signatureVocabulary": ("stylometry.fingerprint_vocabulary", 0.6), "avoidVocabulary": ("stylometry.fingerprint_vocabulary", 0.3)}
+
+
+def dimension_findings(dimensions: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, dimension, severity, confidence): dimensions that fall short of the profile by more than their threshold."""
+    d, short = F.col("dimension"), 1 - F.col("score")
+    rule, severity, sure = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("double")
+    for name, (rule_id, least) in REPORTED.items():
+        own = lexicon.severity(rule_id) or 3
+        over = (d == name) & (short >= least)
+        avoided = name == "avoidVocabulary"
+        rule = F.when(over, rule_id).otherwise(rule)
+        severity = F.when(over, min(5, own + 1) if avoided else max(1, own - 1)).otherwise(severity)
+        sure = F.when(over, F.round(F.greatest(F.lit(0.2), 0.35 + F.least(F.lit(1.0), short) * 0.35 + (0.2 if avoided else 0.0) - (0.1 if "Vocabulary" in name else 0.0)), 2)).otherwise(sure)
+    return dimensions.select("doc_id", rule.alias("rule_id"), "dimension", severity.alias("severity"), sure.alias("confidence")).where("rule_id is not null")
+
+
+def distance_findings(texts: DataFrame, profile: DataFrame, by: Sequence[str], sigmas: float = 1.5) -> DataFrame:
+    """(doc_id, rule_id, deviations, severity, confidence): texts whose mean sentence length lies off their group's profile by so many of its deviations."""
+    p = profile.where("sentence_n > 0").select(*by, F.col("sentence_mean").alias("m"), F.col("sentence_spread").alias("s"), F.col("sentence_n").alias("k"))
+    rows = texts.where("n_sentences > 0").join(p, list(by))
+    wide = F.when(F.col("s") > 0, F.col("s")).otherwise(F.greatest(F.lit(1.0), F.col("m") * 0.3))
+    away = F.abs(T.mean(T.moments(F.col("sentence_lengths"))) - F.col("m")) / wide
+    rule = "stylometry.distribution_distance"
+    return rows.select("doc_id", F.lit(rule).alias("rule_id"), away.alias("deviations"), F.lit(lexicon.severity(rule)).alias("severity"), F.when(F.col("k") >= 20, 0.6).otherwise(0.35).alias("confidence")).where(F.col("deviations") >= sigmas)
+
+
 def voice_scores(dimensions: DataFrame) -> DataFrame:
     """(doc_id, n_dimensions, voice_score): weighted mean of what was measured, null if nothing was."""
     kept = F.col("score").isNotNull()

@@ -60,7 +60,7 @@ def unmapped_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """First and last snapshot of each upstream, one row per rule: the one loaded last."""
     rows = table(spark, sf_dir, "rule_snapshots")
-    spans = F.broadcast(rows.groupBy("upstream").agg(F.min("extracted_at").alias("first_at"), F.max("extracted_at").alias("last_at")))
+    spans = rows.groupBy("upstream").agg(F.min("extracted_at").alias("first_at"), F.max("extracted_at").alias("last_at"))
     rows = rows.join(spans, "upstream").where("extracted_at in (first_at, last_at)")
     last = F.max(F.struct("loaded_at", F.trim("title").alias("title"), "signature")).alias("v")
     latest = rows.groupBy("upstream", "extracted_at", "first_at", "last_at", F.col("upstream_rule_id").alias("number")).agg(last).select("upstream", "extracted_at", "first_at", "last_at", "number", "v.title", "v.signature")

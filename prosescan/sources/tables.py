@@ -16,5 +16,7 @@ def spread(df: DataFrame) -> DataFrame:
     For work that costs far more than moving the rows. A table with enough splits, as any large one
     has, is left as it is, so nothing shuffles at scale.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
