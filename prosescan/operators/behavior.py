@@ -53,17 +53,34 @@ def has_marker(reply: Column, smell: str) -> Column:
     return F.when(T.mostly_cjk(reply, 0.3), reply.rlike(by_lang["zh"])).otherwise(reply.rlike("(?i)" + by_lang["en"]))
 
 
+def _marked(smell: str) -> Column:
+    """``has_marker`` for a row that has text, low and zh: a plain search spares nearly all regular expressions."""
+    out = {}
+    for lang, ms in lexicon.markers()[smell].items():
+        bare = [m.removeprefix("^").strip() for m in ms]
+        near = F.lit(False)
+        for b in bare:
+            near = near | F.contains(F.col("low"), F.lit(b))
+        out[lang] = near & F.col("text").rlike(("(?i)" if lang == "en" else "") + "|".join(patterns.marker(m) for m in ms))
+    return F.when(F.col("zh"), out["zh"]).otherwise(out["en"])
+
+
 def outcomes(replies: DataFrame, reply_id: str, reply: str, user_turn: str = "user_turn", permission: str = "advice_permission", solution: str | None = None, kinds: str | None = None) -> DataFrame:
     """(reply_id, rule_id, outcome, severity, confidence, scoring) for every reply and behaviour."""
-    text, user = F.coalesce(F.col(reply), F.lit("")), F.col(user_turn)
-    asked = F.coalesce(F.col(kinds), F.array().cast("array<string>")) if kinds else F.array().cast("array<string>")
-    allowed = advice_permission(F.col(permission), F.col(solution) if solution else F.lit(None).cast("string"), asked)
-    m = mirroring(text, user)
+    none = F.array().cast("array<string>")
+    rows = replies.select(
+        F.col(reply_id).alias("reply_id"), F.coalesce(F.col(reply), F.lit("")).alias("text"), F.col(user_turn).alias("user"), F.coalesce(F.col(kinds), none).alias("asked") if kinds else none.alias("asked"),
+        advice_permission(F.col(permission), F.col(solution) if solution else F.lit(None).cast("string"), F.coalesce(F.col(kinds), none) if kinds else none).alias("allowed"),
+    )
+    text, user, asked, allowed = (F.col(c) for c in ("text", "user", "asked", "allowed"))
+    # what several behaviours look at is computed once, only where there is a turn to compare with
+    rows = rows.select("*", F.lower(text).alias("low"), T.mostly_cjk(text, 0.3).alias("zh"), F.when(user.isNotNull(), F.struct(*[c.alias(n) for n, c in mirroring(text, user).items()], F.size(T.sentences(text)).alias("said"), F.greatest(F.lit(1), F.size(T.sentences(user))).alias("turn"))).alias("m"))
+    m = F.col("m")
     mirrored = (m["n_user"] >= LEAST_TOKENS) & (F.try_divide(m["n_shared"], m["n_opening"]) >= OVERLAP) & (F.try_divide(m["n_shared"], m["n_user"]) >= COVERAGE)
-    said, turn = F.size(T.sentences(text)), F.greatest(F.lit(1), F.size(T.sentences(user)))
-    rows = []
+    said, turn = m["said"], m["turn"]
+    found = []
     for smell, (severity, scoring) in lexicon.smells().items():
-        hit = F.coalesce(has_marker(text, smell), F.lit(False))
+        hit = F.coalesce(_marked(smell), F.lit(False))
         sure = F.lit(CONFIDENCE.get(smell))
         if smell == "chat.mirrors_user":
             sure = F.when(F.coalesce(mirrored, F.lit(False)), MIRRORED).otherwise(MARKED)
@@ -76,8 +93,8 @@ def outcomes(replies: DataFrame, reply_id: str, reply: str, user_turn: str = "us
             outcome = F.when(hit & ~F.array_contains(asked, "background"), "fired")
         else:
             outcome = F.when(hit, "fired")
-        rows.append(F.struct(F.lit(smell).alias("rule_id"), F.coalesce(outcome, F.lit("quiet")).alias("outcome"), F.lit(severity).alias("severity"), sure.cast("double").alias("confidence"), F.lit(scoring).alias("scoring")))
-    return replies.select(F.col(reply_id).alias("reply_id"), F.inline(F.array(*rows)))
+        found.append(F.struct(F.lit(smell).alias("rule_id"), F.coalesce(outcome, F.lit("quiet")).alias("outcome"), F.lit(severity).alias("severity"), sure.cast("double").alias("confidence"), F.lit(scoring).alias("scoring")))
+    return rows.select("reply_id", F.inline(F.array(*found)))
 
 
 def behavior_scores(results: DataFrame, budget: float = 3.0) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosescan.functions.scratch import Levels, materialize, trimmed
+from prosescan.functions.scratch import Levels, Seen, materialize, trimmed
 
 #: Children of one parent that one join task gets; a parent with more is split.
 CHILDREN_PER_SPLIT = 50_000
@@ -79,11 +79,12 @@ def closure(links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
     below = links.withColumnRenamed("only", "single")
     levels = Levels(links.sparkSession, "pairs")
     level = levels.add(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("name"), F.lit(1).alias("distance"), "only"))
+    seen = Seen()
     while level is not None:
+        seen.add(level.where("not only").select("ancestor", "name"))
         found = _children(level.where("ancestor <> name"), below, large)
         found = found.select("ancestor", F.col("child").alias("name"), (F.col("distance") + 1).alias("distance"), (F.col("only") & F.col("single")).alias("only"))
-        seen = levels.read().where("not only").select("ancestor", "name")
-        level = levels.add(found.distinct().join(seen, ["ancestor", "name"], "left_anti"))
+        level = levels.add(found.distinct().join(seen.rows(), ["ancestor", "name"], "left_anti"))
     return levels.read().select("ancestor", "name", "distance")
 
 
@@ -97,10 +98,12 @@ def root_paths(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER
     roots = every.join(links.select(F.col("child").alias("name")).distinct(), "name", "left_anti")
     levels = Levels(links.sparkSession, "paths")
     level = levels.add(roots.select("name", F.array("name").alias("path")))
+    seen = Seen()
     while level is not None:
+        seen.add(level.select("name"))
         found = _children(level, links, large).select(F.col("child").alias("name"), F.array_append("path", F.col("child")).alias("path"))
         found = found.groupBy("name").agg(F.min("path").alias("path"))
-        level = levels.add(found.join(levels.read().select("name"), "name", "left_anti"))
+        level = levels.add(found.join(seen.rows(), "name", "left_anti"))
     return levels.read().select("name", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path")
 
 
