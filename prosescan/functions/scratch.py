@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -75,21 +74,6 @@ class Levels:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
 
-class Seen:
-    """Rows of all levels so far, as few scans: every so many levels become one table."""
-
-    def __init__(self, every: int = 16):
-        self.every, self.parts = every, []
-
-    def add(self, rows: DataFrame) -> None:
-        self.parts.append(rows)
-        if len(self.parts) > self.every:
-            self.parts = [materialize(self.rows(), "seen")]
-
-    def rows(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.parts)
-
-
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else left to a shuffle join.
 
