@@ -7,6 +7,8 @@ import posixpath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosescan.functions.text import trim_all
+
 # Fields and domains of a sample's front matter.
 REQUIRED = ["id", "category", "language", "mode", "provenance", "source", "licence", "notes"]
 OPTIONAL = ["model", "expected", "user_turn", "advice_permission"]
@@ -31,7 +33,7 @@ PROFILE = "schemaVersion string, id string, owner string, kind string, languages
 
 def read_samples(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """(path, directory, text) of the Markdown files below the root's category folders."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     rows = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     rows = rows.select("path", F.element_at(F.split("path", "/"), -2).alias("directory"), F.element_at(F.split("path", "/"), -1).alias("file"), "text")
     rows = rows.where(~F.col("file").isin(*NOT_SAMPLES)).drop("file")
@@ -59,7 +61,7 @@ def parsed_samples(files: DataFrame) -> DataFrame:
     """Samples with their fields as columns and the text as ``body``."""
     rows = files.withColumn("fm", front_matter(F.col("text")))
     fields = [F.col("fm")[c].alias(c) for c in REQUIRED + OPTIONAL]
-    return rows.select("path", "directory", *fields, F.trim(F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---(?:\r?\n|\z)", "")).alias("body"))
+    return rows.select("path", "directory", *fields, trim_all(F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---(?:\r?\n|\z)", "")).alias("body"))
 
 
 def violations(samples: DataFrame) -> DataFrame:
