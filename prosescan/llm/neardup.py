@@ -1,18 +1,12 @@
 """Near-duplicate records: pairs whose words agree in a share of at least 0.8, and their groups.
 
-Words, tagged with their occurrence, are the set bits of a sparse fingerprint of ``SEGMENTS``
-segments; a record's embedding is its bit count per segment. The Manhattan distance of two
-embeddings is a lower bound of the number of words that differ. Random grids over the embedding
-find candidates: each grid takes ``COORDINATES`` segment counts by min-wise sampling, so that two
-records share a cell with probability ((M - L1) / (M + L1)) ** COORDINATES, where L1 is their
-Manhattan distance and M their number of words together. Records that share a cell are joined if
-the distance of their counts over 16 coarse segments, which is a lower bound too, allows the
-similarity, and each pair is then verified on its words exactly.
-
-Words that more than ``COMMON_SHARE`` of the records hold don't spread records over cells and are
-left out of the grids, unless they make up most of a record; a record near that border is laid
-out both ways. A pair at exactly 0.8 is missed with a probability of about 0.005, one at 0.87 with
-one of 0.00003; there is no cap on cells, candidates or partners.
+Words, tagged with their occurrence, are a set. Each word flips one of ``BITS`` bits of its record's
+sketch, so the Hamming distance of two sketches is a lower bound of the number of words that differ,
+as is the Manhattan distance of the counts over 16 coarse segments. Every pair of records whose
+lengths allow the similarity is compared by sketch, in pairs of blocks; a pair that no bound rules
+out is verified on its words exactly. No pair is lost, whichever words differ, and there is no cap on
+candidates or partners. The comparisons grow with the square of the distinct records. Sketches tell
+records of up to about 500 words apart; longer ones are verified more often, with the same results.
 
 Defined results: null fields are empty; records without any word resemble nothing; exact copies
 are candidates by their equality, not by cells; ids must be unique; an empty table has no pairs.
@@ -32,13 +26,10 @@ from pyspark.sql import functions as F
 
 from prosescan.functions.scratch import join_by_frequency, materialize, small_or_shuffled
 
-SEGMENTS_BITS = 20
-GRIDS = 24
-COORDINATES = 4
-COMMON_SHARE = 0.1
-#: Below the first share of uncommon words a record is laid out by all words, above the second by uncommon ones, between them both ways.
-FEW, ENOUGH = 0.2, 0.35
-SEED = 20_240_229
+#: Bits of a sketch; the first ``FIRST`` 64-bit words are compared for every pair, the others only for the pairs they leave.
+BITS, FIRST = 512, 2
+#: Records of a block at most, and number of blocks up to which smaller ones are made so that all cores have work.
+BLOCK, SPREAD, LEAST = 500_000, 8, 5_000
 
 
 def _tagged(batch: pa.RecordBatch, fields: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,57 +76,12 @@ def tokenized(records: DataFrame, row_id: str, fields: Sequence[str]) -> DataFra
     return chosen.mapInArrow(run, f"id {kind}, m int, words array<bigint>")
 
 
-def common_words(words: DataFrame, share: float = COMMON_SHARE, least: int = 50) -> np.ndarray:
-    """Hashes of the tagged words that more than ``share`` of the records hold.
-
-    There are fewer than (mean words of a record) / share of them, so the driver may hold them.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
-        for b in batches:
-            values, n = np.unique(b.column("words").flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            for v, k in zip(values.tolist(), n.tolist(), strict=True):
-                held[v] = held.get(v, 0) + k
-            if len(held) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-                held = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-
-    n = words.count()
-    often = words.select("words").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > max(share * n, least))
-    return np.array(sorted(r["word"] for r in often.select("word").collect()), np.int64)
-
-
-def _multipliers(grids: int, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    size = grids * coordinates
-    return rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, size, dtype=np.uint64)
-
-
-def _embedding(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One hash per unit of each segment count: the embedding's coordinates as a set."""
+def _sketches(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One row of ``BITS`` / 64 integers per record: bit b is the parity of the number of words that hash to b."""
     row = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
-    order = np.lexsort((words >> np.uint64(64 - SEGMENTS_BITS), row))
-    segment, row = (words >> np.uint64(64 - SEGMENTS_BITS))[order], row[order]
-    fresh = np.r_[True, (segment[1:] != segment[:-1]) | (row[1:] != row[:-1])] if len(words) else np.zeros(0, bool)
-    first = np.flatnonzero(fresh)
-    nth = np.arange(len(words)) - np.repeat(first, np.diff(np.r_[first, len(words)]))
-    return _mixed(segment + (nth.astype(np.uint64) << np.uint64(SEGMENTS_BITS)) + np.uint64(1))
-
-
-def _cells(words: np.ndarray, ends: np.ndarray, grids: int, coordinates: int) -> np.ndarray:
-    """The cell of each row in each grid; rows without words must not be given."""
-    units = _embedding(words, ends)
-    starts = np.r_[0, ends[:-1]].astype(np.int64)
-    a, b = _multipliers(grids, coordinates)
-    out = np.empty((len(ends), grids), np.uint64)
-    for g in range(grids):
-        cell = np.full(len(ends), g, np.uint64)
-        for j in range(g * coordinates, (g + 1) * coordinates):
-            cell = _mixed(cell * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(units * a[j] + b[j], starts))
-        out[:, g] = cell
-    return out
+    bit = (_mixed(words) % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(row * BITS + bit, minlength=len(ends) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
+    return np.packbits(odd, axis=1).view(np.uint64)
 
 
 def _coarse(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -146,31 +92,101 @@ def _coarse(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
 
 
-def grid_cells(words: DataFrame, common: np.ndarray, grids: int = GRIDS, coordinates: int = COORDINATES) -> DataFrame:
-    """(cell, id, m, coarse): the cells of every record that has words."""
+def sketched(words: DataFrame) -> DataFrame:
+    """(id, m, coarse, sketch) of every record that has words."""
     kind = words.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("words")
-            ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            m = np.diff(np.r_[0, ends])
-            coarse = _coarse(flat.view(np.uint64), ends)
-            row = np.repeat(np.arange(len(m)), m)
-            rare = ~np.isin(flat, common)
-            rare_m = np.bincount(row[rare], minlength=len(m))
-            part = rare_m / np.maximum(m, 1)
-            for mine, kept in (((m > 0) & (part < ENOUGH), np.ones(len(flat), bool)), ((rare_m > 0) & (part >= FEW), rare)):
-                who = np.flatnonzero(mine)
-                if not len(who):
-                    continue
-                take = kept & mine[row]
-                found = _cells(flat[take].view(np.uint64), np.cumsum(np.bincount(row[take], minlength=len(m))[who]), grids, coordinates)
-                at = np.repeat(who, grids)
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), b.column("id").take(pa.array(at)), pa.array(m[at], pa.int32()), pa.array(coarse[at].view(np.int64))], ["cell", "id", "m", "coarse"])
-
-    return words.select("id", "words").mapInArrow(run, f"cell bigint, id {kind}, m int, coarse bigint")
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            # records of many words go in slices, so that counts per bit stay small
+            for at in range(0, len(ends), 2000):
+                low, e = ends[at - 1] if at else 0, ends[at : at + 2000]
+                part, e = flat[low : e[-1]], e - low
+                bits = pa.array([x.tobytes() for x in _sketches(part, e)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(e)), pa.array(np.diff(np.r_[0, e]), pa.int32()), pa.array(_coarse(part, e).view(np.int64)), bits], ["id", "m", "coarse", "sketch"])
+
+    return words.where("m > 0").select("id", "words").mapInArrow(run, f"id {kind}, m int, coarse bigint, sketch binary")
+
+
+def _near(left: np.ndarray, m_left: np.ndarray, right: np.ndarray, m_right: np.ndarray, apart: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of ``right`` that the sketches don't rule out, for each row of ``left``; both sorted by length.
+
+    ``apart`` is the share of the words of both that may differ; if both sides are the ``same`` block, only later rows count.
+    """
+    columns = [np.ascontiguousarray(right[:, k]) for k in range(right.shape[1])]
+    # the lengths alone differ by at most ``apart`` of their sum
+    reach = (1 + apart) / (1 - apart)
+    lows, highs = np.searchsorted(m_right, m_left / reach - 1e-6), np.searchsorted(m_right, m_left * reach + 1e-6, "right")
+    allowed, last = np.zeros(0, np.uint16), -1
+    for i in range(len(left)):
+        low, high = max(int(lows[i]), i + 1 if same else 0), int(highs[i])
+        if low >= high:
+            continue
+        if m_left[i] != last:
+            last = m_left[i]
+            allowed = np.minimum(np.floor(apart * (m_right + float(last)) + 1e-9), BITS).astype(np.uint16)
+        far = np.bitwise_count(columns[0][low:high] ^ left[i, 0])
+        for k in range(1, FIRST):
+            far += np.bitwise_count(columns[k][low:high] ^ left[i, k])
+        at = np.flatnonzero(far <= allowed[low:high]) + low
+        if len(at):
+            whole = np.bitwise_count(right[at] ^ left[i]).sum(axis=1, dtype=np.int64)
+            at = at[whole <= allowed[at]]
+            if len(at):
+                yield i, at
+
+
+def near_pairs(rows: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b, m_a, m_b, coarse_a, coarse_b): each pair of the ``n`` sketched records that the sketches don't rule out, once."""
+    blocks = max(-(-n // BLOCK), min(SPREAD, -(-n // LEAST)), 1)
+    kind = rows.schema["id"].dataType.simpleString()
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", other)
+    # the place of (low, high), low <= high, in the list of all pairs of blocks
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    placed = placed.withColumn("place", (high * (high + 1) / 2 + low).cast("int"))
+    names = ["a", "b", "m_a", "m_b", "coarse_a", "coarse_b"]
+    apart = 1 - similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        places = whole.column("place").to_numpy()
+        for place in np.unique(places):
+            rows = whole.filter(pa.array(places == place)).sort_by("m").combine_chunks()
+            block, m = rows.column("block").to_numpy(), rows.column("m").to_numpy().astype(np.float64)
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            sides = [np.flatnonzero(block == x) for x in (block.min(), block.max())]
+            # a pair of one block with itself has only that block's rows; of two, one may be empty
+            high = int((np.sqrt(8.0 * place + 1) - 1) / 2)
+            same = place - high * (high + 1) // 2 == high
+            if not same and block.min() == block.max():
+                continue
+            x, y = sides
+            ids, out = rows.select(["id", "m", "coarse"]), ([], [])
+
+            def taken() -> pa.RecordBatch:
+                u, v = (ids.take(pa.array(np.concatenate(o))).combine_chunks() for o in out)
+                return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (u["id"], v["id"], u["m"], v["m"], u["coarse"], v["coarse"])], names)
+
+            size = 0
+            for i, at in _near(sketch[x], m[x], sketch[y], m[y], apart, same):
+                out[0].append(np.full(len(at), x[i]))
+                out[1].append(y[at])
+                size += len(at)
+                if size > 100_000:
+                    yield taken()
+                    out, size = ([], []), 0
+            if size:
+                yield taken()
+
+    spread = placed.select("place", "block", "id", "m", "coarse", "sketch").repartitionById(blocks * (blocks + 1) // 2, "place")
+    return spread.mapInArrow(run, f"a {kind}, b {kind}, m_a int, m_b int, coarse_a bigint, coarse_b bigint")
 
 
 def coarse_distance(a: Column, b: Column) -> Column:
@@ -193,12 +209,11 @@ class NearDuplicates:
         self.copies = materialize(copies, "copies")
         extra = small_or_shuffled(self.copies.where("id <> rep").select("id"))
         single = words.join(extra, "id", "left_anti")
-        cells = grid_cells(single, common_words(words))
         # a share of at least `similarity` leaves at most this share of the words to differ; the small term covers rounding
         apart = 1 - similarity
-        left, right = (cells.select(*[F.col(c).alias(f"{c}_{s}") for c in cells.columns]) for s in "ab")
-        near = (F.col("cell_a") == F.col("cell_b")) & (F.col("id_a") < F.col("id_b")) & (coarse_distance(F.col("coarse_a"), F.col("coarse_b")) <= F.lit(apart) * (F.col("m_a") + F.col("m_b")) + 1e-9)
-        pairs = left.join(right, near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+        rows = materialize(sketched(single), "sketches")
+        near = coarse_distance(F.col("coarse_a"), F.col("coarse_b")) <= F.lit(apart) * (F.col("m_a") + F.col("m_b")) + 1e-9
+        pairs = near_pairs(rows, rows.count(), similarity).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = materialize(pairs, "candidates")
         wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
         texts = words.join(small_or_shuffled(wanted), "id", "left_semi").select("id", "words")

@@ -69,6 +69,30 @@ def test_a_hot_cluster_loses_no_link(spark):
     assert {tuple(r) for r in found.pairs().collect()} == brute(rows)
 
 
+def test_edits_on_uncommon_words_only_lose_no_pair(spark):
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(48)]
+    rows = []
+    for i in range(150):
+        own = [f"r{i}x{k}" for k in range(27)]
+        other = [f"s{i}x{k}" for k in range(15)] + own[15:]
+        for j, text in ((i, common + own), (1000 + i, common + other)):
+            rng.shuffle(text)
+            rows.append((j, None, " ".join(text), None))
+    rows += [(5000 + r[0], *r[1:]) for r in sample(rng, 200)]
+    found = neardup.NearDuplicates(frame(spark, rows), "rule_id", FIELDS)
+    want = brute(rows)
+    assert {(i, 1000 + i) for i in range(150)} <= want
+    assert {tuple(r) for r in found.pairs().collect()} == want
+
+
+def test_all_pairs_of_blocks_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAST", 40)
+    rows = sample(random.Random(10), 250)
+    found = neardup.NearDuplicates(frame(spark, rows), "rule_id", FIELDS)
+    assert {tuple(r) for r in found.pairs().collect()} == brute(rows)
+
+
 def test_no_rows(spark):
     found = neardup.NearDuplicates(frame(spark, []), "rule_id", FIELDS)
     assert found.pairs().count() == 0 and found.groups().count() == 0
