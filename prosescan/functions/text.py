@@ -97,9 +97,10 @@ def normalized(text: Column) -> Column:
 
 
 def phrase_key(text: Column) -> Column:
-    """Key under which spellings of a phrase meet: lower case, single spaces, no punctuation at the ends."""
-    flat = F.regexp_replace(F.lower(normalized(text)), rf"[{SPACE}]+", " ")
-    return F.regexp_replace(flat, r"^[\p{P}\s]+|[\p{P}\s]+\z", "")
+    """Key under which spellings of a phrase meet in any script: lower case, single spaces, no sentence punctuation, brackets or quotes at the ends."""
+    flat = F.regexp_replace(F.lower(text), rf"[{SPACE}]+", " ")
+    edge = r"""[ !?.,;:()\[\]"'“”。！？，、]+"""
+    return F.regexp_replace(flat, rf"^{edge}|{edge}\z", "")
 
 
 def literal_count(text: Column, needle: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosescan.functions import text as T
@@ -33,13 +33,24 @@ def rule_severity_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("signature").agg(*[registry.severity_by(p, F.col("severity")).cast("bigint").alias(f"{p}_severity") for p in ("max", "median", "mean")])
 
 
-def phrase_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owner of every watched phrase: among the signatures of the rules that watch it, the one with the fewest phrases."""
+def _owned(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
     rules = registry.clean_candidates(table(spark, sf_dir, "extracted_rules"))
     phrases = table(spark, sf_dir, "watch_phrases").join(rules.select("rule_id", F.col("signature").alias("rule")), "rule_id")
     severities = rules.groupBy(F.col("signature").alias("rule")).agg(F.coalesce(F.max("severity"), F.lit(3)).alias("severity"))
-    owned = registry.phrase_owners(phrases, severities, F.lower(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")))
-    return owned.select("phrase_key", "owner", *_long("n_claimants"))
+    return registry.phrase_owners(phrases, severities, key).select("phrase_key", "owner", *_long("n_claimants"))
+
+
+def phrase_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner of every watched phrase by its ASCII letters and digits, as its SQL has it: among the signatures of the rules that watch it, the one with the fewest phrases.
+
+    Phrases of other scripts share the key of one blank; ``phrase_owners_all_scripts`` keeps them apart.
+    """
+    return _owned(spark, sf_dir, F.lower(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")))
+
+
+def phrase_owners_all_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner of every watched phrase of any script, by the key of ``T.phrase_key``."""
+    return _owned(spark, sf_dir, T.phrase_key(F.col("text")))
 
 
 def rule_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +238,7 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_dedupe, rule_severity_policies, phrase_ownership, rule_provenance, registry_statistics, unmapped_signatures, heading_deltas, renumbered_rules, manifest_problems, upstreams_without_rules,
+        rule_dedupe, rule_severity_policies, phrase_ownership, phrase_owners_all_scripts, rule_provenance, registry_statistics, unmapped_signatures, heading_deltas, renumbered_rules, manifest_problems, upstreams_without_rules,
         corpus_counts, corpus_hash, score_cells, score_flags, score_separation, config_deltas, unmeasured_tally, run_comparison, rule_changes, strata_census, stratified_draw, poststratified_rate,
         rule_enrichment, rule_cofiring, rates_per_thousand, coverage_matrix, revenue_rollup, top_parts, events_by_hour, customers_without_orders,
     )

@@ -98,3 +98,13 @@ def test_corpus_hash_follows_content_not_order(spark):
     rows = [(i, f"text {i}") for i in range(50)]
     h = lambda x: corpus.corpus_hash(spark.createDataFrame(x, "id long, text string").repartition(3), "id", ["text"]).first()
     assert h(rows) == h(rows[::-1]) and h(rows).hash != h([*rows[1:], (0, "other")]).hash and h(rows).n == 50
+
+
+def test_phrase_owners_of_all_scripts(spark, tmp_path):
+    from prosescan.plans import evaluation
+
+    spark.createDataFrame([(1, "wide", 3), (2, "narrow", 3)], "rule_id long, signature string, severity int").write.parquet(f"{tmp_path}/extracted_rules.parquet")
+    texts = [(1, "综上所述"), (1, "值得注意"), (1, "Слово"), (1, "Naïve  idea!"), (1, "!?"), (2, "“综上所述。”"), (2, "not X, but Y")]
+    spark.createDataFrame(texts, "rule_id long, text string").write.parquet(f"{tmp_path}/watch_phrases.parquet")
+    got = {r.phrase_key: (r.owner, r.n_claimants) for r in evaluation.QUERIES["phrase_owners_all_scripts"](spark, str(tmp_path)).collect()}
+    assert got == {"综上所述": ("narrow", 2), "值得注意": ("wide", 1), "слово": ("wide", 1), "naïve idea": ("wide", 1), "not x, but y": ("narrow", 1)}
