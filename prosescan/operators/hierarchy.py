@@ -105,8 +105,8 @@ def root_paths(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER
 
 
 def resolve(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
-    """One row per name: root, depth and path of its shortest way from a root (null if none leads
-    to it), numbers of ancestors, descendants and roots, and whether it lies on a circle.
+    """One row per name: root, depth and path of one shortest way from a root (null if none leads
+    to it; ``all_roots`` and ``path_links`` have the others), numbers of ancestors, descendants and roots, and whether it lies on a circle.
     """
     links = materialize(links, "links")
     every = names.select("name").union(links.select("parent")).union(links.select("child")).distinct()
@@ -117,3 +117,25 @@ def resolve(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER_SP
     down = pairs.where("ancestor <> name").groupBy(F.col("ancestor").alias("name")).agg(F.count("*").alias("n_descendants"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     return every.join(paths, "name", "left").join(up, "name", "left").join(down, "name", "left").select("name", "root", "depth", "path", zero("n_ancestors"), zero("n_descendants"), zero("n_roots"), F.coalesce("on_circle", F.lit(False)).alias("on_circle"))
+
+
+def all_roots(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
+    """(name, root, distance) of every name and each of its roots, with the fewest links between them; a root is its own at distance 0.
+
+    Names that only circles lead to have no row.
+    """
+    links = materialize(links, "links")
+    every = names.select("name").union(links.select("parent")).union(links.select("child")).distinct()
+    roots = materialize(every.join(links.select(F.col("child").alias("name")).distinct(), "name", "left_anti"), "roots")
+    below = closure(links, per_split).withColumnRenamed("ancestor", "root").join(roots.withColumnRenamed("name", "root"), "root")
+    return below.select("name", "root", "distance").unionByName(roots.select("name", F.col("name").alias("root"), F.lit(0).alias("distance")))
+
+
+def path_links(links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
+    """(name, parent, child): for every name with a parent, each link on a way that leads down to it.
+
+    Together they are all full paths of the name, whose number may be exponential; names on circles and below them are included.
+    """
+    links = materialize(links, "links")
+    above = closure(links, per_split).where("ancestor <> name").select(F.col("ancestor").alias("child"), "name")
+    return links.select(F.col("child").alias("name"), "parent", "child").unionByName(above.join(links, "child").select("name", "parent", "child"))

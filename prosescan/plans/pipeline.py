@@ -20,11 +20,22 @@ def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("name", "root", F.col("depth").cast("bigint").alias("depth"), F.array_join("path", " > ").alias("path"), "n_ancestors", "n_descendants", "n_roots", "on_circle")
 
 
+def p1_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every root of every name."""
+    return hierarchy.all_roots(*hierarchy.names_and_links(table(spark, sf_dir, "manifest")))
+
+
+def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All full paths of every name, as the links they consist of."""
+    _, links = hierarchy.names_and_links(table(spark, sf_dir, "manifest"))
+    return hierarchy.path_links(links)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, sf_dir, "rule_snapshots"), "upstream", "source_commit", "extracted_at", "upstream_rule_id", ["title"], "loaded_at")
 
 
-QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_roots": p1_roots, "p1_paths": p1_paths, "p5_found": p5_found}
 
 LINKS = r"""
 entries AS (

@@ -62,6 +62,19 @@ def test_unreached_names_and_ties(spark):
     assert got["t"].path == ["r", "x", "t"]
 
 
+def test_all_roots_and_paths(spark, tmp_path):
+    from prosescan.plans import pipeline
+
+    rows = [("r", None, None, None), ("q", None, None, None), ("x", ["r", "q"], None, None), ("t", ["x", "r"], None, None), ("a", ["b"], None, None), ("b", ["a"], None, None), ("c", ["b", "x"], None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/manifest.parquet")
+    roots = [tuple(r) for r in pipeline.QUERIES["p1_roots"](spark, str(tmp_path)).collect()]
+    assert sorted(roots) == [("c", "q", 2), ("c", "r", 2), ("q", "q", 0), ("r", "r", 0), ("t", "q", 2), ("t", "r", 1), ("x", "q", 1), ("x", "r", 1)]
+    paths = [tuple(r) for r in pipeline.QUERIES["p1_paths"](spark, str(tmp_path)).collect()]
+    x, circle = [("q", "x"), ("r", "x")], [("a", "b"), ("b", "a")]
+    want = {"x": x, "t": [*x, ("x", "t"), ("r", "t")], "a": circle, "b": circle, "c": [*x, *circle, ("b", "c"), ("x", "c")]}
+    assert sorted(paths) == sorted((name, *link) for name, links in want.items() for link in links)
+
+
 def test_empty_table(spark):
     names, links = hierarchy.names_and_links(spark.createDataFrame([], SCHEMA))
     assert hierarchy.closure(links).count() == 0 and hierarchy.resolve(names, links).count() == 0
