@@ -37,15 +37,13 @@ def routed(docs: DataFrame, doc_id: str, text: str, mode: str | None = None, pro
     return rows.select("doc_id", "language", "mode", "short", strategy(F.col("language"), F.col("mode"), F.col("short"), F.col("profile")).alias("strategy"))
 
 
-def contracts(routes: DataFrame, collapsed: DataFrame, items: DataFrame, rules: int = 20, kept: int = 200) -> DataFrame:
-    """(doc_id, strategy, n_rules, n_protected, contract): the gravest rules and the first items to keep, with budget and minimums, as JSON.
-
-    Both lists of a document are cut to their feature's length by rank before they are gathered.
+def contracts(routes: DataFrame, collapsed: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, strategy, n_rules, n_protected, contract): all rules, the gravest first, and all items to keep, with budget and minimums, as JSON.
     """
     grave = Window.partitionBy("doc_id").orderBy(F.desc("severity"), "rule_id")
-    fix = collapsed.withColumn("r", F.row_number().over(grave)).where(F.col("r") <= rules).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("r", "rule_id", "severity"))).alias("fix"))
+    fix = collapsed.withColumn("r", F.row_number().over(grave)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("r", "rule_id", "severity"))).alias("fix"))
     first = Window.partitionBy("doc_id").orderBy("ord", "value")
-    keep = items.withColumn("r", F.row_number().over(first)).where(F.col("r") <= kept).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("r", "kind", "value", "occurrences", "exact"))).alias("keep"))
+    keep = items.withColumn("r", F.row_number().over(first)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("r", "kind", "value", "occurrences", "exact"))).alias("keep"))
     both = routes.join(fix, "doc_id", "left").join(keep, "doc_id", "left")
     none = lambda c: F.coalesce(F.size(c), F.lit(0))
     body = F.struct("strategy", "language", "mode", F.col("fix").alias("rules"), F.col("keep").alias("protected"), F.struct(F.lit(PASSES).alias("passes"), F.lit(RETRIES).alias("retries")).alias("budget"), F.struct(*[F.lit(v).alias(k) for k, v in LEAST.items()]).alias("minimums"))

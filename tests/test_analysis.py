@@ -172,3 +172,13 @@ def test_composed_scores(spark):
     assert r.unmeasured == ["voice_score", "preservation_score"]
     with pytest.raises(ValueError):
         scoring.assert_not_blended(spark.createDataFrame([], "overall double"))
+
+
+def test_a_contract_keeps_every_rule_and_item(spark):
+    from prosescan.operators import contract
+
+    routes = spark.createDataFrame([(1, "en", "prose", False, "en-prose")], "doc_id long, language string, mode string, short boolean, strategy string")
+    rules = spark.createDataFrame([(1, f"rule{i:02}", 1 + i % 5) for i in range(25)], "doc_id long, rule_id string, severity int")
+    items = spark.createDataFrame([(1, i, "number", str(i), 1, True) for i in range(260)], "doc_id long, ord int, kind string, value string, occurrences int, exact boolean")
+    row = contract.contracts(routes, rules, items).first()
+    assert (row.n_rules, row.n_protected) == (25, 260) and '"value":"259"' in row.contract
