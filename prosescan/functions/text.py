@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes.
+#: Matches that one fold of all spans appends.
+SPAN_BLOCK = 500
 SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
 TERMINATORS = r".!?\n。！？；…"
@@ -113,12 +115,12 @@ def per_thousand(n: Column, of: Column) -> Column:
     return F.coalesce(F.try_divide(n * F.lit(1000.0), of), F.lit(0.0))
 
 
-def spans(text: Column, pattern: str | Column, limit: int = 20) -> Column:
-    """array<struct<start,end,text>> of the first matches. The pattern must not match the empty string.
+def spans(text: Column, pattern: str | Column, limit: int | None = 20) -> Column:
+    """array<struct<start,end,text>> of the first matches, or of all for None. The pattern must not match the empty string.
 
     One fold over the matches and the gaps before them, so the text is searched twice however many matches it has.
     """
-    pairs = F.slice(F.arrays_zip(extract(text, pattern).alias("m"), F.split(text, pattern).alias("g")), 1, limit)
+    pairs = F.arrays_zip(extract(text, pattern).alias("m"), F.split(text, pattern).alias("g"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -126,7 +128,17 @@ def spans(text: Column, pattern: str | Column, limit: int = 20) -> Column:
         end = begin + F.char_length(x["m"])
         return F.struct(F.coalesce(end, a["at"]).alias("at"), F.when(x["m"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
 
-    return F.aggregate(pairs, start, step)["out"]
+    if limit is not None:
+        return F.aggregate(F.slice(pairs, 1, limit), start, step)["out"]
+    # a fold of folds over blocks, as appending to one long array would copy it for every match; the outer transform evaluates the pairs once
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,text:string>>>").alias("out"))
+
+    def block(a: Column, part: Column) -> Column:
+        within = F.aggregate(part, F.struct(a["at"].alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")), step)
+        return F.struct(within["at"].alias("at"), F.array_append(a["out"], within["out"]).alias("out"))
+
+    parts = lambda p: F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / SPAN_BLOCK).cast("int")), lambda k: F.slice(p, k * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK)))
+    return F.flatten(F.transform(F.array(pairs), lambda p: F.flatten(F.aggregate(parts(p), none, block)["out"])))
 
 
 def first_seen(text: Column, found: Column, limit: int, shown: int) -> Column:

@@ -26,7 +26,7 @@ FORBIDDEN = {"score", "overall", "total", "combined", "blended", "composite"}
 
 def exempt_spans(text: Column) -> Column:
     """array<struct<start,end,reason>> of code, quotations, titles and names."""
-    found = [_with_reason(T.spans(text, p, 10_000), reason) for reason, ps in EXEMPT.items() for p in ps]
+    found = [_with_reason(T.spans(text, p, None), reason) for reason, ps in EXEMPT.items() for p in ps]
     return F.flatten(F.array(*found))
 
 

@@ -182,3 +182,13 @@ def test_a_contract_keeps_every_rule_and_item(spark):
     items = spark.createDataFrame([(1, i, "number", str(i), 1, True) for i in range(260)], "doc_id long, ord int, kind string, value string, occurrences int, exact boolean")
     row = contract.contracts(routes, rules, items).first()
     assert (row.n_rules, row.n_protected) == (25, 260) and '"value":"259"' in row.contract
+
+
+def test_exempt_spans_have_no_limit(spark):
+    from pyspark.sql import functions as F
+
+    from prosescan.operators import scoring
+
+    rows = spark.createDataFrame([("`a` 𝔘 " * 12_003,), ("",), ("x `b`",)], "text string").select(scoring.exempt_spans(F.col("text")).alias("s"))
+    many, none, one = [[(x.start, x.end) for x in r.s if x.reason == "code"] for r in rows.collect()]
+    assert many == [(6 * i, 6 * i + 3) for i in range(12_003)] and none == [] and one == [(2, 5)]
