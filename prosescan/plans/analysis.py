@@ -203,7 +203,7 @@ def protected_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preservation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against the next one of its source, as if that were its rewrite."""
+    """Every document against itself with each odd ASCII digit written as 2, as if that were its rewrite: a digit edit, so that mostly items with such digits are altered or lost."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rewritten = docs.select("doc_id", F.regexp_replace("text", "[13579]", "2").alias("text"))
     states = protected.preservation(protected.protected_items(docs, "doc_id", "text"), rewritten, "doc_id", "text")
