@@ -65,6 +65,8 @@ REGULAR = regex.compile(r"\p{Lu}?[\p{Ll}\p{M}]+|[\p{Lu}\p{M}]+|\p{Lu}[\p{Ll}\p{M
 SEPARATORS = "|│\t,;"
 GAP = regex.compile(r" {2,}")
 BLANK = "\ufeff \t"
+#: White space and byte order marks before a line's opening.
+INDENT = BLANK + "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _is_word(run: str) -> bool:
@@ -113,10 +115,11 @@ def _pruned(counts: Counter) -> Counter:
 class Line:
     """State of a line or of the part of it that a chunk holds."""
 
-    __slots__ = ("opening", "last", "filled", "seps", "gaps", "lead", "trail")
+    __slots__ = ("opening", "raw", "last", "filled", "seps", "gaps", "lead", "trail")
 
     def __init__(self, text: str):
-        self.opening = text[:OPENING]
+        self.raw = text[:OPENING]
+        self.opening = text.lstrip(INDENT)[:OPENING]
         body = text.strip().strip(BLANK)
         self.filled = len(body)
         self.last = body[-1] if body else ""
@@ -129,7 +132,9 @@ class Line:
 
     def joined(self, right: Line) -> Line:
         out = object.__new__(Line)
-        out.opening = (self.opening + right.opening)[:OPENING] if len(self.opening) < OPENING else self.opening
+        out.raw = (self.raw + right.raw)[:OPENING]
+        # an opening starts behind the blanks of its line; what follows it keeps its own
+        out.opening = (self.opening + right.raw)[:OPENING] if self.opening else right.opening
         out.last = right.last or self.last
         out.filled = self.filled + right.filled
         out.seps = tuple(a + b for a, b in zip(self.seps, right.seps, strict=True))
@@ -146,7 +151,7 @@ class Line:
             return
         p.n_filled += 1
         p.n_ended += self.last in END_MARKS
-        start = self.opening.lstrip().lstrip(BLANK)
+        start = self.opening
         p.n_items += ITEM.match(start) is not None
         outer = (start[:1] in "|│") + (self.last in "|│")
         best = 0

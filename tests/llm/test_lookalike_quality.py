@@ -81,3 +81,16 @@ def test_summaries_keep_what_prevails():
     for p in parts[1:]:
         whole = whole.merged(p)
     assert max(whole.words, key=whole.words.get) == "hot" and len(whole.words) <= quality.KEPT
+
+
+def test_deeply_indented_items_are_seen():
+    from prosescan.llm import quality
+
+    text = " " * 130 + "\t-  item of the list"
+    whole = quality.Partial("\n".join([text] * 4))
+    line = quality.Line(text)
+    for cut in range(len(text) + 1):
+        line = quality.Line(text[:cut]).joined(quality.Line(text[cut:]))
+        assert line.opening == "-  item of the list"
+    line.add_to(whole)
+    assert whole.n_items >= 1 and not whole.rows
