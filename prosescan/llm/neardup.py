@@ -1,35 +1,51 @@
 """Near-duplicate records: pairs whose words agree in a share of at least 0.8, and their groups.
 
-Words, tagged with their occurrence, are a set. Each word flips one of ``BITS`` bits of its record's
-sketch, so the Hamming distance of two sketches is a lower bound of the number of words that differ,
-as is the Manhattan distance of the counts over 16 coarse segments. Every pair of records whose
-lengths allow the similarity is compared by sketch, in pairs of blocks; a pair that no bound rules
-out is verified on its words exactly. No pair is lost, whichever words differ, and there is no cap on
-candidates or partners. The comparisons grow with the square of the distinct records. Sketches tell
-records of up to about 500 words apart; longer ones are verified more often, with the same results.
+Words, tagged with their occurrence, are a set. Each record is embedded as its numbers of words in
+``SEGMENTS`` segments, whose Manhattan distance is a lower bound of the number of words that differ;
+counts are kept in unary, so that the distance is the popcount of two records' differing bits.
+Candidates share a cell of one of many layouts: a cell is the tuple of a layout's min-wise
+coordinates, drawn from all words alike. Cells are joined bucket by bucket; a pair beyond the
+Manhattan bound is dropped where it is found, the others are verified on their words exactly.
+
+Every coordinate agrees with the share of the words of both that they have in common, whichever
+words differ, so the chance that a pair at the threshold shares no cell is at most ``MISS`` and
+falls steeply above it (under 1e-11 at a similarity of 0.87). There is no cap on cells, candidates
+or partners: a cell of more than ``HOT`` records is split into pairs of blocks that other tasks take.
+The number of coordinates follows the number of records, so that cells stay small; layouts, and with
+them the keys of a record, grow about as its power 0.2.
 
 Defined results: null fields are empty; records without any word resemble nothing; exact copies
-are candidates by their equality, not by cells; ids must be unique; an empty table has no pairs.
+are candidates by their equality, not by cells; ids must be unique integers; an empty table has no pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from prosescan.functions.scratch import join_by_frequency, materialize, small_or_shuffled
 
-#: Bits of a sketch; the first ``FIRST`` 64-bit words are compared for every pair, the others only for the pairs they leave.
-BITS, FIRST = 512, 2
-#: Records of a block at most, and number of blocks up to which smaller ones are made so that all cores have work.
-BLOCK, SPREAD, LEAST = 500_000, 8, 5_000
+#: Chance that a pair at the threshold shares no cell; similarity that unrelated records seldom exceed (as common over all words); least coordinates of a layout.
+MISS, FAR, LEAST_COORDINATES = 1e-5, 0.15, 5
+#: Segments of the embedding and the count at which one is full.
+SEGMENTS, FULL = 64, 3
+#: Keys of a bucket; records of a cell, or copies of one record, from which it is split.
+BUCKET_KEYS, HOT = 2_000_000, 4096
+
+
+def layouts(n: int, similarity: float) -> tuple[int, int]:
+    """Coordinates of a layout and number of layouts for ``n`` records."""
+    both = similarity / (2 - similarity)
+    coordinates = max(LEAST_COORDINATES, ceil(log(max(n, 16) / 16) / -log(FAR)))
+    return coordinates, ceil(log(MISS) / log(1 - both**coordinates))
 
 
 def _tagged(batch: pa.RecordBatch, fields: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,123 +92,151 @@ def tokenized(records: DataFrame, row_id: str, fields: Sequence[str]) -> DataFra
     return chosen.mapInArrow(run, f"id {kind}, m int, words array<bigint>")
 
 
-def _sketches(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One row of ``BITS`` / 64 integers per record: bit b is the parity of the number of words that hash to b."""
-    row = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
-    bit = (_mixed(words) % np.uint64(BITS)).astype(np.int64)
-    odd = (np.bincount(row * BITS + bit, minlength=len(ends) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
-    return np.packbits(odd, axis=1).view(np.uint64)
+def _embedded(words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """One row of ``FULL`` integers per record: bit s of the k-th says whether segment s has more than k words."""
+    counts = np.bincount(row * SEGMENTS + (words >> np.uint64(58)).astype(np.int64), minlength=n * SEGMENTS).reshape(n, SEGMENTS)
+    return np.stack([np.packbits(counts > k, axis=1).view(np.uint64)[:, 0] for k in range(FULL)], axis=1)
 
 
-def _coarse(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Counts over 16 coarse segments, up to 15 each, packed into one integer."""
-    row = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
-    segment = (words >> np.uint64(60)).astype(np.int64)
-    counts = np.minimum(np.bincount(row * 16 + segment, minlength=len(ends) * 16).reshape(-1, 16), 15).astype(np.uint64)
-    return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+def _minima(kinds: np.ndarray, at: np.ndarray, starts: np.ndarray, first: int, n: int) -> Iterator[np.ndarray]:
+    """Min-wise coordinates ``first`` and on, ``n`` of them, of all records, whose words are ``kinds`` at the places ``at``; each record has a word."""
+    for c in range(first, first + n):
+        salt = _mixed(np.array([c + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+        yield np.minimum.reduceat((_mixed(kinds ^ salt) >> np.uint64(32)).astype(np.uint32)[at], starts)
 
 
-def sketched(words: DataFrame) -> DataFrame:
-    """(id, m, coarse, sketch) of every record that has words."""
-    kind = words.schema["id"].dataType.simpleString()
+def _packed(ids: np.ndarray, m: np.ndarray, embedded: np.ndarray, keys: np.ndarray) -> bytes:
+    """Records of a block and their keys, column by column."""
+    return b"".join([np.array([len(ids), keys.size], np.int64).tobytes(), ids.tobytes(), m.astype(np.uint32).tobytes(), embedded.T.tobytes(), keys.tobytes()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("words")
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            # records of many words go in slices, so that counts per bit stay small
-            for at in range(0, len(ends), 2000):
-                low, e = ends[at - 1] if at else 0, ends[at : at + 2000]
-                part, e = flat[low : e[-1]], e - low
-                bits = pa.array([x.tobytes() for x in _sketches(part, e)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(e)), pa.array(np.diff(np.r_[0, e]), pa.int32()), pa.array(_coarse(part, e).view(np.int64)), bits], ["id", "m", "coarse", "sketch"])
 
-    return words.where("m > 0").select("id", "words").mapInArrow(run, f"id {kind}, m int, coarse bigint, sketch binary")
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, k = (int(x) for x in np.frombuffer(block, np.int64, 2))
+    at = 16
+    out = []
+    for kind, size in ((np.int64, n), (np.uint32, n), (np.uint64, FULL * n), (np.uint32, k)):
+        out.append(np.frombuffer(block, kind, size, at))
+        at += size * kind().nbytes
+    return out[0], out[1].astype(np.int64), out[2].reshape(FULL, n).T, out[3]
 
 
-def _near(left: np.ndarray, m_left: np.ndarray, right: np.ndarray, m_right: np.ndarray, apart: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of ``right`` that the sketches don't rule out, for each row of ``left``; both sorted by length.
+def keyed(words: DataFrame, n: int, similarity: float, cores: int) -> tuple[DataFrame, int]:
+    """(bucket, block) of all records that have words, in every bucket with their keys there; and the number of buckets.
 
-    ``apart`` is the share of the words of both that may differ; if both sides are the ``same`` block, only later rows count.
+    A bucket holds some layouts of all records or, where records are many, a part of one layout's cells.
     """
-    columns = [np.ascontiguousarray(right[:, k]) for k in range(right.shape[1])]
-    # the lengths alone differ by at most ``apart`` of their sum
-    reach = (1 + apart) / (1 - apart)
-    lows, highs = np.searchsorted(m_right, m_left / reach - 1e-6), np.searchsorted(m_right, m_left * reach + 1e-6, "right")
-    allowed, last = np.zeros(0, np.uint16), -1
-    for i in range(len(left)):
-        low, high = max(int(lows[i]), i + 1 if same else 0), int(highs[i])
-        if low >= high:
-            continue
-        if m_left[i] != last:
-            last = m_left[i]
-            allowed = np.minimum(np.floor(apart * (m_right + float(last)) + 1e-9), BITS).astype(np.uint16)
-        far = np.bitwise_count(columns[0][low:high] ^ left[i, 0])
-        for k in range(1, FIRST):
-            far += np.bitwise_count(columns[k][low:high] ^ left[i, k])
-        at = np.flatnonzero(far <= allowed[low:high]) + low
-        if len(at):
-            whole = np.bitwise_count(right[at] ^ left[i]).sum(axis=1, dtype=np.int64)
-            at = at[whole <= allowed[at]]
-            if len(at):
-                yield i, at
-
-
-def near_pairs(rows: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b, m_a, m_b, coarse_a, coarse_b): each pair of the ``n`` sketched records that the sketches don't rule out, once."""
-    blocks = max(-(-n // BLOCK), min(SPREAD, -(-n // LEAST)), 1)
-    kind = rows.schema["id"].dataType.simpleString()
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", other)
-    # the place of (low, high), low <= high, in the list of all pairs of blocks
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    placed = placed.withColumn("place", (high * (high + 1) / 2 + low).cast("int"))
-    names = ["a", "b", "m_a", "m_b", "coarse_a", "coarse_b"]
-    apart = 1 - similarity
+    coordinates, many = layouts(n, similarity)
+    per = max(1, min(BUCKET_KEYS // max(n, 1), ceil(many / (2 * cores))))
+    parts = ceil(n / BUCKET_KEYS) if per == 1 else 1
+    groups = ceil(many / per)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        whole = pa.Table.from_batches(held).combine_chunks()
-        places = whole.column("place").to_numpy()
-        for place in np.unique(places):
-            rows = whole.filter(pa.array(places == place)).sort_by("m").combine_chunks()
-            block, m = rows.column("block").to_numpy(), rows.column("m").to_numpy().astype(np.float64)
-            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            sides = [np.flatnonzero(block == x) for x in (block.min(), block.max())]
-            # a pair of one block with itself has only that block's rows; of two, one may be empty
-            high = int((np.sqrt(8.0 * place + 1) - 1) / 2)
-            same = place - high * (high + 1) // 2 == high
-            if not same and block.min() == block.max():
+        for b in batches:
+            lists = b.column("words")
+            m = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(m):
                 continue
-            x, y = sides
-            ids, out = rows.select(["id", "m", "coarse"]), ([], [])
-
-            def taken() -> pa.RecordBatch:
-                u, v = (ids.take(pa.array(np.concatenate(o))).combine_chunks() for o in out)
-                return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (u["id"], v["id"], u["m"], v["m"], u["coarse"], v["coarse"])], names)
-
-            size = 0
-            for i, at in _near(sketch[x], m[x], sketch[y], m[y], apart, same):
-                out[0].append(np.full(len(at), x[i]))
-                out[1].append(y[at])
-                size += len(at)
-                if size > 100_000:
-                    yield taken()
-                    out, size = ([], []), 0
-            if size:
-                yield taken()
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            starts = np.r_[0, np.cumsum(m)[:-1]]
+            ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            kinds, at = np.unique(flat, return_inverse=True)
+            embedded = _embedded(flat, np.repeat(np.arange(len(m)), m), len(m))
+            for g in range(groups):
+                keys = []
+                for k in range(g * per, min(many, (g + 1) * per)):
+                    key = np.full(len(m), k, np.uint64)
+                    for c in _minima(kinds, at, starts, k * coordinates, coordinates):
+                        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ c)
+                    keys.append(key)
+                keys = np.stack(keys)
+                for part in range(parts):
+                    own = slice(None) if parts == 1 else np.flatnonzero((keys[0] >> np.uint64(32)) % np.uint64(parts) == part)
+                    block = _packed(ids[own], m[own], embedded[own], keys[:, own].astype(np.uint32))
+                    yield pa.RecordBatch.from_arrays([pa.array([g * parts + part], pa.int32()), pa.array([block], pa.binary())], ["bucket", "block"])
+
+    return words.where("m > 0").select("id", "words").mapInArrow(run, "bucket int, block binary"), groups * parts
+
+
+def _near(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (row i of x, row j of y) that the Manhattan distance doesn't rule out."""
+    (_, mx, ex, *_), (_, my, ey, *_) = x, y
+    most = apart * (mx[i] + my[j]) + 1e-9
+    far = np.zeros(len(i), np.int64)
+    for k in range(FULL):
+        far += np.bitwise_count(ex[i, k] ^ ey[j, k])
+    keep = far <= most
+    return i[keep], j[keep]
+
+
+def candidates(blocks: DataFrame, buckets: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of records that share a cell and that the Manhattan distance doesn't rule out; a pair may come from several buckets."""
+    apart = 1 - similarity
+    shape = "a bigint, b bigint, left binary, right binary"
+    none = lambda n: pa.nulls(n, pa.binary())
+
+    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(len(pairs)), none(len(pairs))], ["a", "b", "left", "right"])
+
+    def bucket(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        read = [_unpacked(x) for x in held]
+        x = tuple(np.concatenate([r[k] for r in read]) for k in range(3))
+        ends = np.cumsum([len(r[0]) for r in read])
+        # a key is that of its layout within the bucket
+        keys = np.concatenate([r[3].astype(np.uint64) | (np.repeat(np.arange(len(r[3]) // max(1, len(r[0])), dtype=np.uint64), len(r[0])) << np.uint64(32)) for r in read])
+        rows = np.concatenate([np.tile(np.arange(e - len(r[0]), e), len(r[3]) // max(1, len(r[0]))) for r, e in zip(read, ends, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[first, len(keys)])
+        for f, size in zip(first[sizes > HOT], sizes[sizes > HOT], strict=True):
+            cuts = [rows[f + k : min(f + k + HOT, f + size)] for k in range(0, size, HOT)]
+            whole = [_packed(x[0][c], x[1][c], x[2][c], np.zeros(0, np.uint32)) for c in cuts]
+            for i in range(len(cuts)):
+                for j in range(i, len(cuts)):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([whole[i]], pa.binary()), pa.array([whole[j]], pa.binary())], ["a", "b", "left", "right"])
+        usual = np.repeat((sizes > 1) & (sizes <= HOT), sizes)
+        keys, rows = keys[usual], rows[usual]
+        # pairs of records at a distance of 1, 2, ... in the order of keys, as long as they share one
+        at, step, out, waiting = np.arange(len(keys)), 1, [], 0
+        while len(at):
+            at = at[at + step < len(keys)]
+            at = at[keys[at + step] == keys[at]]
+            for k in range(0, len(at), 1_000_000):
+                own = at[k : k + 1_000_000]
+                i, j = _near(x, rows[own], x, rows[own + step], apart)
+                if len(i):
+                    out.append((x[0][i], x[0][j]))
+                    waiting += len(i)
+            if waiting > 500_000:
+                yield found(*(np.concatenate(o) for o in zip(*out, strict=True)))
+                out, waiting = [], 0
+            step += 1
+        if out:
+            yield found(*(np.concatenate(o) for o in zip(*out, strict=True)))
 
-    spread = placed.select("place", "block", "id", "m", "coarse", "sketch").repartitionById(blocks * (blocks + 1) // 2, "place")
-    return spread.mapInArrow(run, f"a {kind}, b {kind}, m_a int, m_b int, coarse_a bigint, coarse_b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for k, block in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True):
+                held.setdefault(k, []).append(block)
+        while held:
+            yield from bucket(held.popitem()[1])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
+                x, y = _unpacked(left), _unpacked(right)
+                for k in range(len(x[0])):
+                    i, j = _near(x, np.full(len(y[0]), k), y, np.arange(len(y[0])), apart)
+                    if len(i):
+                        yield found(x[0][i], y[0][j]).select(["a", "b"])
 
-def coarse_distance(a: Column, b: Column) -> Column:
-    """Manhattan distance of two packed coarse count vectors."""
-    part = lambda c, i: F.shiftrightunsigned(c, 4 * i).bitwiseAND(F.lit(15))
-    return reduce(lambda x, y: x + y, [F.abs(part(a, i) - part(b, i)) for i in range(16)])
+    cells = materialize(blocks.repartitionById(buckets, "bucket").mapInArrow(run, shape), "cells")
+    pairs, hot = cells.where("left is null").select("a", "b"), cells.where("left is not null").select("left", "right")
+    if hot.isEmpty():
+        return pairs
+    return pairs.unionByName(hot.repartition(buckets).mapInArrow(split, "a bigint, b bigint"))
 
 
 class NearDuplicates:
@@ -202,6 +246,8 @@ class NearDuplicates:
     """
 
     def __init__(self, records: DataFrame, row_id: str, fields: Sequence[str], similarity: float = 0.8):
+        if not isinstance(records.schema[row_id].dataType, IntegralType):
+            raise TypeError(f"{row_id} must be an integer")
         words = materialize(tokenized(records, row_id, fields), "words")
         bags = words.where("m > 0").select("id", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(5), "words").alias("h2"))
         groups = materialize(bags.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "groups")
@@ -209,12 +255,9 @@ class NearDuplicates:
         self.copies = materialize(copies, "copies")
         extra = small_or_shuffled(self.copies.where("id <> rep").select("id"))
         single = words.join(extra, "id", "left_anti")
-        # a share of at least `similarity` leaves at most this share of the words to differ; the small term covers rounding
-        apart = 1 - similarity
-        rows = materialize(sketched(single), "sketches")
-        near = coarse_distance(F.col("coarse_a"), F.col("coarse_b")) <= F.lit(apart) * (F.col("m_a") + F.col("m_b")) + 1e-9
-        pairs = near_pairs(rows, rows.count(), similarity).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialize(pairs, "candidates")
+        n = words.count() - self.copies.where("id <> rep").count()
+        blocks, buckets = keyed(single, n, similarity, records.sparkSession.sparkContext.defaultParallelism)
+        pairs = materialize(candidates(blocks, buckets, similarity).distinct(), "candidates")
         wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
         texts = words.join(small_or_shuffled(wanted), "id", "left_semi").select("id", "words")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
@@ -223,13 +266,22 @@ class NearDuplicates:
         self.ids = records.select(F.col(row_id).alias("id"))
 
     def pairs(self) -> DataFrame:
-        """(a, b), a < b, of every pair of records, copies included."""
-        of = self.copies
-        within = of.select("rep", F.col("id").alias("a")).join(of.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b")
+        """(a, b), a < b, of every pair of records, copies included.
+
+        The copies of a record are parted into blocks of about ``HOT``, so no task gets all pairs of a large group.
+        """
+        sizes = self.copies.groupBy("rep").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
+        parted = self.copies.where("id <> rep").join(small_or_shuffled(materialize(sizes.where("blocks > 1"), "sizes")), "rep", "left").fillna(1, ["blocks"])
+        of = parted.unionByName(parted.select("rep", F.col("rep").alias("id"), "blocks").distinct()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        left = of.select("rep", F.col("id").alias("a"), F.col("block").alias("i"), every.alias("j"))
+        right = of.select("rep", F.col("id").alias("b"), F.col("block").alias("j"), every.alias("i"))
+        within = left.join(right, ["rep", "i", "j"]).where("a < b").select("a", "b")
         spread = self.links
         for side in "ab":
-            more = of.select(F.col("rep").alias(side), F.col("id").alias("copy"))
-            spread = spread.join(more, side, "left").withColumn(side, F.coalesce("copy", side)).drop("copy")
+            more = of.select(F.col("rep").alias(side), F.col("id").alias("copy"), "block")
+            ends = spread.join(of.select(F.col("rep").alias(side), "blocks").distinct(), side, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+            spread = ends.join(more, [side, "block"], "left").where("copy is not null or blocks is null").withColumn(side, F.coalesce("copy", side)).select("a", "b")
         return within.unionByName(spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
     def groups(self) -> DataFrame:

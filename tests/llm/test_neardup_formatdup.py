@@ -86,11 +86,22 @@ def test_edits_on_uncommon_words_only_lose_no_pair(spark):
     assert {tuple(r) for r in found.pairs().collect()} == want
 
 
-def test_all_pairs_of_blocks_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LEAST", 40)
-    rows = sample(random.Random(10), 250)
+def test_hot_cells_and_hot_copies_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 16)
+    monkeypatch.setattr(neardup, "BUCKET_KEYS", 100)
+    rng = random.Random(10)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, None, " ".join([*base[: i % 60], f"e{i}", *base[i % 60 + 1 :]]), None) for i in range(120)]
+    rows += [(2000 + i, *rows[3][1:]) for i in range(70)] + [(5000 + r[0], *r[1:]) for r in sample(rng, 60)]
     found = neardup.NearDuplicates(frame(spark, rows), "rule_id", FIELDS)
-    assert {tuple(r) for r in found.pairs().collect()} == brute(rows)
+    got = [tuple(r) for r in found.pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_layouts_miss_at_most_what_they_say():
+    for n in (1, 1000, 10**6, 10**9):
+        coordinates, many = neardup.layouts(n, 0.8)
+        assert (1 - (2 / 3) ** coordinates) ** many <= neardup.MISS and coordinates >= neardup.LEAST_COORDINATES
 
 
 def test_no_rows(spark):
@@ -98,15 +109,16 @@ def test_no_rows(spark):
     assert found.pairs().count() == 0 and found.groups().count() == 0
 
 
-def test_coarse_distance_is_a_lower_bound(spark):
+def test_the_distance_of_embeddings_is_a_lower_bound():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    a, b = (rng.integers(0, 2**63, 40, dtype=np.uint64) * np.uint64(2) for _ in range(2))
-    b[:25] = a[:25]
-    packed = [int(neardup._coarse(x, np.array([40])).view(np.int64)[0]) for x in (a, b)]
-    got = spark.createDataFrame([tuple(packed)], "a long, b long").select(neardup.coarse_distance(F.col("a"), F.col("b"))).first()[0]
-    assert 0 < got <= 30
+    for n, same in ((40, 25), (300, 290), (5, 0)):
+        a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) for _ in range(2))
+        b[:same] = a[:same]
+        x, y = (neardup._embedded(v, np.zeros(n, np.int64), 1) for v in (a, b))
+        got = int(np.bitwise_count(x ^ y).sum())
+        assert (0 < got if n < 200 else 0 <= got) and got <= 2 * (n - same)
 
 
 RAW = [
