@@ -6,6 +6,8 @@ the same matches as an engine with ASCII word borders and Unicode white space.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{1F1E6}-\x{1F1FF}]"
 DECORATION = r"[\x{1F300}-\x{1FAFF}\x{2190}-\x{21FF}\x{2600}-\x{27BF}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often and within whichever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def count(text: Column, pattern: str | Column) -> Column:
     """Number of matches of a pattern; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
@@ -141,9 +148,9 @@ def spans(text: Column, pattern: str | Column, limit: int | None = 20) -> Column
     return F.flatten(F.transform(F.array(pairs), lambda p: F.flatten(F.aggregate(parts(p), none, block)["out"])))
 
 
-def first_seen(text: Column, found: Column, limit: int, shown: int) -> Column:
-    """Spans of strings at their first occurrence in the text."""
-    return F.transform(F.slice(found, 1, limit), lambda m: F.struct((F.instr(text, m) - 1).alias("start"), (F.instr(text, m) - 1 + F.char_length(m)).alias("end"), F.substring(m, 1, shown).alias("text")))
+def first_seen(text: Column, found: Column, limit: int | None, shown: int) -> Column:
+    """Spans of strings at their first occurrence in the text; of all of them for None."""
+    return F.transform(found if limit is None else F.slice(found, 1, limit), lambda m: F.struct((F.instr(text, m) - 1).alias("start"), (F.instr(text, m) - 1 + F.char_length(m)).alias("end"), F.substring(m, 1, shown).alias("text")))
 
 
 def moments(values: Column) -> Column:
@@ -176,7 +183,7 @@ def variation(m: Column) -> Column:
 def median(values: Column) -> Column:
     """Median of an array of numbers; null for an empty one."""
     s, n = F.array_sort(values), F.size(values)
-    at = lambda i: F.try_element_at(s, i.cast("int"))
+    at = lambda i: F.get(s, i.cast("int") - 1)
     return (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / F.lit(2.0)
 
 

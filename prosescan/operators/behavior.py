@@ -53,34 +53,32 @@ def has_marker(reply: Column, smell: str) -> Column:
     return F.when(T.mostly_cjk(reply, 0.3), reply.rlike(by_lang["zh"])).otherwise(reply.rlike("(?i)" + by_lang["en"]))
 
 
-def _marked(smell: str) -> Column:
-    """``has_marker`` for a row that has text, low and zh: a plain search spares nearly all regular expressions."""
+def _marked(smell: str, text: Column) -> Column:
+    """``has_marker`` for a row that has low and zh: a plain search spares nearly all regular expressions."""
     out = {}
     for lang, ms in lexicon.markers()[smell].items():
         bare = [m.removeprefix("^").strip() for m in ms]
         near = F.lit(False)
         for b in bare:
             near = near | F.contains(F.col("low"), F.lit(b))
-        out[lang] = near & F.col("text").rlike(("(?i)" if lang == "en" else "") + "|".join(patterns.marker(m) for m in ms))
+        out[lang] = near & text.rlike(("(?i)" if lang == "en" else "") + "|".join(patterns.marker(m) for m in ms))
     return F.when(F.col("zh"), out["zh"]).otherwise(out["en"])
 
 
-def outcomes(replies: DataFrame, reply_id: str, reply: str, user_turn: str = "user_turn", permission: str = "advice_permission", solution: str | None = None, kinds: str | None = None) -> DataFrame:
-    """(reply_id, rule_id, outcome, severity, confidence, scoring) for every reply and behaviour."""
+def with_outcomes(rows: DataFrame, text: Column, user: Column, permission: Column, solution: Column | None = None, kinds: Column | None = None) -> DataFrame:
+    """Rows with ``outcomes``: an array of (rule_id, outcome, severity, confidence, scoring), one for each behaviour. ``text`` must not be null."""
     none = F.array().cast("array<string>")
-    rows = replies.select(
-        F.col(reply_id).alias("reply_id"), F.coalesce(F.col(reply), F.lit("")).alias("text"), F.col(user_turn).alias("user"), F.coalesce(F.col(kinds), none).alias("asked") if kinds else none.alias("asked"),
-        advice_permission(F.col(permission), F.col(solution) if solution else F.lit(None).cast("string"), F.coalesce(F.col(kinds), none) if kinds else none).alias("allowed"),
-    )
-    text, user, asked, allowed = (F.col(c) for c in ("text", "user", "asked", "allowed"))
+    asked = F.coalesce(kinds, none) if kinds is not None else none
+    allowed = advice_permission(permission, solution if solution is not None else F.lit(None).cast("string"), asked)
     # what several behaviours look at is computed once, only where there is a turn to compare with
-    rows = rows.select("*", F.lower(text).alias("low"), T.mostly_cjk(text, 0.3).alias("zh"), F.when(user.isNotNull(), F.struct(*[c.alias(n) for n, c in mirroring(text, user).items()], F.size(T.sentences(text)).alias("said"), F.greatest(F.lit(1), F.size(T.sentences(user))).alias("turn"))).alias("m"))
-    m = F.col("m")
+    compared = F.struct(*[c.alias(n) for n, c in mirroring(text, user).items()], F.size(T.sentences(text)).alias("said"), F.greatest(F.lit(1), F.size(T.sentences(user))).alias("turn"))
+    rows = rows.withColumns({"low": F.lower(text), "zh": T.mostly_cjk(text, 0.3), "m": F.when(user.isNotNull(), compared), "_allowed": allowed})
+    m, allowed = F.col("m"), F.col("_allowed")
     mirrored = (m["n_user"] >= LEAST_TOKENS) & (F.try_divide(m["n_shared"], m["n_opening"]) >= OVERLAP) & (F.try_divide(m["n_shared"], m["n_user"]) >= COVERAGE)
     said, turn = m["said"], m["turn"]
     found = []
     for smell, (severity, scoring) in lexicon.smells().items():
-        hit = F.coalesce(_marked(smell), F.lit(False))
+        hit = F.coalesce(_marked(smell, text), F.lit(False))
         sure = F.lit(CONFIDENCE.get(smell))
         if smell == "chat.mirrors_user":
             sure = F.when(F.coalesce(mirrored, F.lit(False)), MIRRORED).otherwise(MARKED)
@@ -94,16 +92,42 @@ def outcomes(replies: DataFrame, reply_id: str, reply: str, user_turn: str = "us
         else:
             outcome = F.when(hit, "fired")
         found.append(F.struct(F.lit(smell).alias("rule_id"), F.coalesce(outcome, F.lit("quiet")).alias("outcome"), F.lit(severity).alias("severity"), sure.cast("double").alias("confidence"), F.lit(scoring).alias("scoring")))
-    return rows.select("reply_id", F.inline(F.array(*found)))
+    return rows.withColumn("outcomes", F.array(*found)).drop("low", "zh", "m", "_allowed")
+
 
+def smell_findings(outcomes: Column) -> Column:
+    """The behaviours that fired, as findings of a scan."""
+    spans = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    fired = F.filter(outcomes, lambda x: x["outcome"] == "fired")
+    return F.transform(fired, lambda x: F.struct(x["rule_id"].alias("rule_id"), F.lit("assistant.smells").alias("detector_id"), F.lit("assistant").alias("family"), x["severity"].alias("severity"), x["confidence"].alias("confidence"), spans.alias("evidence")))
 
-def behavior_scores(results: DataFrame, budget: float = 3.0) -> DataFrame:
-    """(reply_id, behavior_score, judged, abstained, suppressed, unjudged): only the discriminating behaviours are charged, by weights of four decimals."""
-    weight = F.round(F.col("severity") / 5 * F.col("confidence"), 4)
-    charged = F.sum(F.when((F.col("outcome") == "fired") & (F.col("scoring") == "discriminating"), weight).otherwise(0.0))
-    n = lambda o: F.count_if(F.col("outcome") == o)
-    scored = results.groupBy("reply_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - charged / budget)).alias("behavior_score"), n("abstained").alias("abstained"), n("suppressed").alias("suppressed"), n("unjudged").alias("unjudged"), n("fired").alias("fired"))
-    return scored.withColumn("judged", F.lit(len(lexicon.smells())) - F.col("unjudged") - F.col("abstained"))
+
+def outcomes(replies: DataFrame, reply_id: str, reply: str, user_turn: str = "user_turn", permission: str = "advice_permission", solution: str | None = None, kinds: str | None = None) -> DataFrame:
+    """(reply_id, rule_id, outcome, severity, confidence, scoring) for every reply and behaviour."""
+    rows = replies.select(
+        F.col(reply_id).alias("reply_id"), F.coalesce(F.col(reply), F.lit("")).alias("text"), F.col(user_turn).alias("user"), F.col(permission).alias("permission"),
+        (F.col(solution) if solution else F.lit(None).cast("string")).alias("solution"), (F.col(kinds) if kinds else F.lit(None).cast("array<string>")).alias("kinds"),
+    )
+    c = F.col
+    return with_outcomes(rows, c("text"), c("user"), c("permission"), c("solution"), c("kinds")).select("reply_id", F.inline("outcomes"))
+
+
+def row_score(outcomes: Column, budget: float = 3.0) -> Column:
+    """struct<behavior_score, judged, abstained, suppressed, unjudged, fired> of one reply: only the discriminating behaviours are charged, by weights of four decimals."""
+    charged = F.aggregate(outcomes, F.lit(0.0), lambda a, x: a + F.when((x["outcome"] == "fired") & (x["scoring"] == "discriminating"), F.round(x["severity"] / 5 * x["confidence"], 4)).otherwise(0.0))
+    count = lambda o: F.size(F.filter(outcomes, lambda x: x["outcome"] == o))
+    n = {o: count(o) for o in ("abstained", "suppressed", "unjudged", "fired")}
+    judged = F.size(outcomes) - n["unjudged"] - n["abstained"]
+    return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - charged / budget)).alias("behavior_score"), judged.alias("judged"), *[c.alias(o) for o, c in n.items()])
+
+
+def behavior_scores(replies: DataFrame, reply_id: str, reply: str, user_turn: str = "user_turn", permission: str = "advice_permission", solution: str | None = None, kinds: str | None = None) -> DataFrame:
+    """(reply_id, behavior_score, judged, abstained, suppressed, unjudged, fired) of every reply; nothing is grouped."""
+    none = lambda kind: F.lit(None).cast(kind)
+    c = lambda name, kind="string": F.col(name) if name else none(kind)
+    rows = replies.select(F.col(reply_id).alias("reply_id"), F.coalesce(F.col(reply), F.lit("")).alias("text"), c(user_turn).alias("user"), c(permission).alias("permission"), c(solution).alias("solution"), c(kinds, "array<string>").alias("kinds"))
+    rows = with_outcomes(rows, *(F.col(x) for x in ("text", "user", "permission", "solution", "kinds")))
+    return rows.select("reply_id", row_score(F.col("outcomes")).alias("s")).select("reply_id", "s.*")
 
 
 def regression(before: Column, after: Column, tolerance: float = 0.05) -> Column:

@@ -10,6 +10,7 @@ Defined results: null text has no findings; an unknown rule makes its detector s
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -105,6 +106,19 @@ def longest_run(items: Column) -> Column:
     return F.aggregate(items, start, step)["best"]
 
 
+def first_run(items: Column, least: int) -> Column:
+    """struct<at, n> of the first run of at least ``least`` equal neighbours, at its whole length; n is 0 if there is none."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = F.coalesce(a["last"] == x, F.lit(False))
+        run = F.when(same, a["run"] + 1).otherwise(1)
+        found = ~a["over"] & (run >= least)
+        return F.struct(x.alias("last"), run.alias("run"), (a["i"] + 1).alias("i"), F.when(found, a["i"] + 1 - run).otherwise(a["at"]).alias("at"), F.when(found, run).otherwise(a["n"]).alias("n"), (a["over"] | ((a["n"] > 0) & ~same)).alias("over"))
+
+    return F.aggregate(items, start, step)
+
+
 def title_case(heading: Column) -> Column:
     """Whether a heading of three words or more is capitalised nearly throughout."""
     alpha = F.filter(T.words(heading), lambda w: w.rlike("[A-Za-z]"))
@@ -112,30 +126,54 @@ def title_case(heading: Column) -> Column:
 
 
 def restated_headings(text: Column) -> Column:
-    """Number of headings whose words come back in the first sentence below."""
+    """Spans of headings whose words come back in the first sentence below, up to three.
+
+    Below a heading stands the first block with words that doesn't open with a number sign; a heading's own block counts
+    for it, but not for a heading above it. One fold from the end carries the block that headings above would see.
+    """
     pieces = F.split(text, r"(?md)^(?=#{1,6}[ \t]+.)")
 
-    def hit(piece: Column) -> Column:
-        head = F.regexp_extract(piece, r"\A#{1,6}[ \t]+([^\n]+)", 1)
-        below = F.filter(F.transform(F.split(F.regexp_replace(piece, r"\A#{1,6}[ \t]+[^\n]+", ""), r"\n\s*\n"), T.trim_all), lambda b: (b != "") & ~b.startswith("#"))
-        first = F.try_element_at(T.sentences(F.try_element_at(below, F.lit(1))), F.lit(1))
-        keys = F.array_distinct(F.filter(T.words(F.lower(head)), lambda w: F.char_length(w) > 3))
-        shared = F.size(F.filter(F.transform(T.words(F.lower(first)), lambda w: F.regexp_replace(w, "[^a-z]", "")), lambda w: F.array_contains(keys, w)))
-        return (F.size(keys) > 0) & first.isNotNull() & (shared >= F.greatest(F.lit(2), F.ceil(F.size(keys) * 0.7)))
+    def parts(piece: Column) -> Column:
+        body = F.regexp_replace(piece, r"\A#{1,6}[ \t]+[^\n]+", "")
+        blocks = F.split(body, r"\n\s*\n")
+        kept = lambda bs: F.get(F.filter(F.transform(bs, T.trim_all), lambda b: (b != "") & ~b.startswith("#")), 0)
+        return F.struct(F.regexp_extract(piece, r"\A#{1,6}[ \t]+([^\n]+)", 1).alias("head"), F.char_length(piece).alias("size"), kept(blocks).alias("own"), kept(F.slice(blocks, 2, 1_000_000)).alias("under"))
+
+    spots = F.array().cast("array<struct<start:int,head:string,below:string>>")
+    start = F.struct(F.char_length(text).alias("at"), F.lit(None).cast("string").alias("below"), spots.alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["at"] - x["size"]
+        seen = F.array_append(a["out"], F.struct(at.alias("start"), x["head"].alias("head"), F.coalesce(x["own"], a["below"]).alias("below")))
+        return F.struct(at.alias("at"), F.coalesce(x["under"], a["below"]).alias("below"), seen.alias("out"))
+
+    folded = F.aggregate(F.reverse(F.transform(pieces, parts)), start, step)["out"]
 
-    return F.least(F.lit(3), F.size(F.filter(pieces, lambda p: F.coalesce(hit(p), F.lit(False)))))
+    def found(x: Column) -> Column:
+        first = F.get(T.sentences(x["below"]), 0)
+        keys = F.array_distinct(F.filter(T.words(F.lower(x["head"])), lambda w: F.char_length(w) > 3))
+
+        def judged(k: Column) -> Column:
+            shared = F.size(F.filter(F.transform(T.words(F.lower(first)), lambda w: F.regexp_replace(w, "[^a-z]", "")), lambda w: F.array_contains(k, w)))
+            return (x["head"] != "") & (F.size(k) > 0) & first.isNotNull() & (shared >= F.greatest(F.lit(2), F.ceil(F.size(k) * 0.7)))
+
+        whole = F.concat(T.trim_all(x["head"]), F.lit(" / "), F.substring(first, 1, 60))
+        return F.when(T.let(keys, judged), F.struct(x["start"].alias("start"), (x["start"] + F.char_length(whole)).alias("end"), whole.alias("text")))
+
+    return F.slice(F.filter(F.transform(F.reverse(folded), found), lambda x: x.isNotNull()), 1, 3)
 
 
 def one_line_closers(text: Column) -> Column:
-    """Number of short single-sentence paragraphs right after long ones, up to three."""
-    start = F.struct(F.lit(0).alias("before"), F.lit(0).alias("n"))
+    """Short single-sentence paragraphs right after long ones, up to three."""
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("before"), none.alias("out"))
 
     def step(a: Column, p: Column) -> Column:
         size = F.size(T.words(p))
-        closes = (a["before"] >= 40) & (size <= 12) & (F.size(T.sentences(p)) == 1)
-        return F.struct(size.alias("before"), (a["n"] + F.when(closes, 1).otherwise(0)).alias("n"))
+        closes = (F.size(a["out"]) < 3) & (a["before"] >= 40) & (size <= 12) & (F.size(T.sentences(p)) == 1)
+        return F.struct(size.alias("before"), F.when(closes, F.array_append(a["out"], p)).otherwise(a["out"]).alias("out"))
 
-    return F.least(F.lit(3), F.aggregate(T.paragraphs(text), start, step)["n"])
+    return F.aggregate(T.paragraphs(text), start, step)["out"]
 
 
 def translationese(text: Column) -> dict[str, Column]:
@@ -160,6 +198,11 @@ def _made(rule: str, detector: str, family: str, fired: Column, confidence: Colu
     return F.when(fired, shape)
 
 
+def _let(value: Column, made: Callable[[Column], Column | None]) -> Column:
+    """``made`` of a value that is computed once; null if no such rule is published."""
+    return T.let(value, lambda x: F.lit(None) if (f := made(x)) is None else f)
+
+
 def watched(kinds: Iterable[str] = ("literal", "template"), more: Iterable[patterns.Pattern] = ()) -> Column:
     """The watched phrases, and more of them, as one constant array, so that a plan's size doesn't grow with them."""
     langs = {r["rule_id"]: r["languages"] for r in lexicon.rules()}
@@ -202,7 +245,7 @@ def lexical_detectors(text: Column) -> Column:
 
     def merged(r: Column) -> Column:
         own = F.filter(matches, lambda m: (m["rule_id"] == r["rule_id"]) & (m["detector_id"] == r["detector_id"]))
-        evidence = F.slice(F.array_sort(F.flatten(F.transform(own, lambda m: m["evidence"]))), 1, 5)
+        evidence = F.slice(F.flatten(F.transform(own, lambda m: m["evidence"])), 1, 5)
         return F.struct(*[r[c].alias(c) for c in ("rule_id", "detector_id", "family", "severity")], F.array_max(F.transform(own, lambda m: m["confidence"])).alias("confidence"), evidence.alias("evidence"))
 
     return F.transform(rules, merged)
@@ -220,8 +263,8 @@ def structural_detectors(text: Column) -> list[Column]:
         _made("formatting.decorative_headings", d, f, (F.size(heads) >= 2) & (F.size(titles) >= 2) & (F.try_divide(F.size(titles), F.size(heads)) >= 0.6), 0.7, T.first_seen(text, titles, 4, 200)),
         _made("formatting.decorative_headings", d, f, (F.size(heads) >= 2) & (F.size(decorated) >= 2), 0.8, T.first_seen(text, decorated, 4, 200)),
         _made("formatting.excessive_structure", d, f, (marks >= 6) & (T.per_thousand(marks, size) >= 20), 0.65),
-        _made("structural.heading_restated", d, f, restated_headings(text) > 0, 0.6),
-        _made("structural.one_line_closer", d, f, one_line_closers(text) >= 2, 0.6),
+        _let(restated_headings(text), lambda spans: _made("structural.heading_restated", d, f, F.size(spans) > 0, 0.6, spans)),
+        _let(one_line_closers(text), lambda closers: _made("structural.one_line_closer", d, f, F.size(closers) >= 2, 0.6, T.first_seen(text, closers, 3, 80))),
     ]
 
 
@@ -229,12 +272,16 @@ def rhythm_detectors(text: Column) -> list[Column]:
     """Uniform rhythm, dashes, repeated openings, comma splices, triads."""
     burst = T.variation(F.col("rhythm"))
     dashes, size = T.count(text, DASH), F.char_length(text)
-    d, f = "rhythm.shape", "rhythm"
+    d, f = "rhythm.distribution", "rhythm"
+    prose = prose_sentences(F.col("sentences"))
+    # evidence goes by the kind of dash first, as far as five of them
+    marks = F.flatten(F.array(*[T.spans(text, kind, 5) for kind in DASH.split("|")]))
+    repeated = lambda x: F.struct(x.alias("prose"), first_run(F.transform(x, opening), 3).alias("run"))
     splices, triads = T.extract(text, SPLICE), T.extract(text, TRIAD)
     return [
-        _made("rhythm.uniform_rhythm", d, f, (F.size("sentences") >= 5) & (burst < 0.35), 0.75),
-        _made("rhythm.dash_overuse", d, f, (dashes >= 3) & (T.per_thousand(dashes, size) >= 6), 0.8, T.spans(text, DASH, 5)),
-        _made("rhythm.repeated_openings", d, f, longest_run(F.transform(prose_sentences(F.col("sentences")), opening)) >= 3, 0.85),
+        _made("rhythm.uniform_rhythm", d, f, (F.size("sentences") >= 5) & (burst < 0.35), 0.75, T.first_seen(text, F.col("sentences"), 3, 80)),
+        _made("rhythm.dash_overuse", d, f, (dashes >= 3) & (T.per_thousand(dashes, size) >= 6), 0.8, F.slice(marks, 1, 5)),
+        _let(T.let(prose, repeated), lambda r: _made("rhythm.repeated_openings", d, f, r["run"]["n"] >= 3, 0.85, T.first_seen(text, F.slice(r["prose"], r["run"]["at"] + 1, r["run"]["n"]), None, 60))),
         _made("rhythm.comma_splice_rhythm", d, f, (F.col("language") != "zh") & (F.size(splices) >= 2), 0.5, T.first_seen(text, splices, 3, 80)),
         _made("rhythm.forced_triad", d, f, F.size(triads) >= 3, 0.6, T.first_seen(text, triads, 4, 70)),
     ]
@@ -270,10 +317,10 @@ def stylometry_detectors(text: Column) -> list[Column]:
     x = lexical_features(text)
     en = F.col("language") == "en"
     diversity = (anchor_score(x["ttr"], "ttr") + anchor_score(x["hapax"], "hapax")) / 2
-    enough = en & (F.size("words") >= 150)
+    enough = en & (F.size("words") >= 150) & (x["n_types"] >= 40)
     return [
-        _made("lexical.low_lexical_diversity", "stylometry.lexical_diversity", "stylometry", enough & (x["n_types"] >= 40) & (diversity >= 0.5), 0.45),
-        _made("rhythm.uniform_rhythm", "stylometry.sentence_variation", "stylometry", enough & (anchor_score(x["cv"], "cv") >= 0.6), 0.45),
+        _made("lexical.low_lexical_diversity", "stylometry.statistical", "stylometry", enough & (diversity >= 0.5), 0.45),
+        _made("rhythm.uniform_rhythm", "stylometry.statistical", "stylometry", enough & (anchor_score(x["cv"], "cv") >= 0.6), 0.45),
     ]
 
 
@@ -288,19 +335,27 @@ DETECTORS: list[tuple[set[str], Callable[[Column], Column | list[Column]]]] = [
 ]
 
 
-def findings(docs: DataFrame, families: Iterable[str] | None = None, most: int = 500, only: Iterable[Callable[[Column], Column | list[Column]]] | None = None) -> DataFrame:
-    """Raw findings (doc_id, ord, rule_id, detector_id, family, severity, confidence, evidence) of prepared texts.
+def with_findings(docs: DataFrame, families: Iterable[str] | None = None, most: int = 500, only: Iterable[Callable[[Column], Column | list[Column]]] | None = None) -> DataFrame:
+    """Prepared texts with their raw findings as one array ``found``; a column ``more`` of findings made elsewhere comes last.
 
     At most ``most`` findings of a text are kept, in the order of the detectors; ``only`` names the detectors that run.
     """
     chosen = None if families is None else set(families)
     run = [f for own, f in DETECTORS if (chosen is None or own & chosen) and (only is None or f in only)]
-    if not run:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ord int, {FINDING}")
     text = F.col("text")
     if lexical_detectors in run:
         docs = docs.withColumn("matches", phrase_matches(text))
     parts = [lexical_detectors(text) if f is lexical_detectors else F.array(*[x for x in f(text) if x is not None]) for f in run]
+    parts.append(F.col("more") if "more" in docs.columns else F.array().cast(f"array<struct<{_typed(FINDING)}>>"))
     kept = F.filter(F.concat(*parts), lambda x: x.isNotNull() if chosen is None else x.isNotNull() & x["family"].isin(*sorted(chosen)))
-    rows = docs.select("doc_id", F.posexplode(F.slice(kept, 1, most)).alias("ord", "f"))
+    return docs.withColumn("found", F.slice(kept, 1, most)).drop("matches", "more")
+
+
+def _typed(columns: str) -> str:
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", columns).replace(", ", ",")
+
+
+def findings(docs: DataFrame, families: Iterable[str] | None = None, most: int = 500, only: Iterable[Callable[[Column], Column | list[Column]]] | None = None) -> DataFrame:
+    """Raw findings (doc_id, ord, rule_id, detector_id, family, severity, confidence, evidence) of prepared texts, as rows."""
+    rows = with_findings(docs, families, most, only).select("doc_id", F.posexplode("found").alias("ord", "f"))
     return rows.select("doc_id", "ord", "f.*")

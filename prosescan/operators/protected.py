@@ -63,12 +63,14 @@ def _proper(match: Column) -> Column:
     return F.when(match.startswith("《"), match).when(F.size(cut) >= 2, F.array_join(cut, " ")).otherwise("")
 
 
-def protected_items(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, kind, value, exact, occurrences, ord) of every item to keep."""
-    body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("masked", masked(F.col("text")))
+def items(text: Column, masked_text: Column) -> Column:
+    """array<struct<kind,value,exact,occurrences,ord>>: every item of a text once, with the number of times it occurs.
+
+    Equal items are neighbours once sorted, so each is a run between two starts and nothing is grouped across rows.
+    """
     kinds = []
     for i, (kind, pattern, exact, cut) in enumerate(KINDS):
-        where = F.col("text") if i < 3 else F.col("masked")
+        where = text if i < 3 else masked_text
         if kind == "proper-noun":
             lines = F.filter(F.split(where, "\n"), lambda x: ~is_heading(x))
             values = F.transform(F.flatten(F.transform(lines, lambda x: T.extract(x, PROPER))), _proper)
@@ -78,10 +80,32 @@ def protected_items(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         values = F.filter(F.transform(values, T.trim_all), lambda v: v != "")
         if kind == "number":
             values = F.filter(values, lambda v: ~v.isin(*NOISE))
-        kinds.append(F.struct(F.lit(i).alias("k"), F.lit(kind).alias("kind"), F.lit(exact).alias("exact"), values.alias("values")))
-    each = body.select("doc_id", F.inline(F.array(*kinds))).select("doc_id", "k", "kind", "exact", F.posexplode("values").alias("pos", "value"))
-    grouped = each.groupBy("doc_id", "kind", "value").agg(F.first("exact").alias("exact"), F.count("*").cast("int").alias("occurrences"), F.min(F.struct("k", "pos")).alias("ord"))
-    return grouped.select("doc_id", "kind", "value", "exact", "occurrences", "ord")
+        kinds.append(F.transform(values, _item(i, kind, exact)))
+
+    def runs(s: Column, starts: Column) -> Column:
+        def one(at: Column, i: Column) -> Column:
+            x = F.get(s, at)
+            n = F.coalesce(F.get(starts, i + 1), F.size(s)) - at
+            return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["exact"].alias("exact"), n.alias("occurrences"), F.struct(x["k"].alias("k"), x["pos"].alias("pos")).alias("ord"))
+
+        return F.transform(starts, one)
+
+    def grouped(s: Column) -> Column:
+        differs = lambda i: (i == 0) | (F.get(s, i)["kind"] != F.get(s, i - 1)["kind"]) | (F.get(s, i)["value"] != F.get(s, i - 1)["value"])
+        every = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        return T.let(F.filter(every, differs), lambda starts: runs(s, starts))
+
+    return T.let(F.array_sort(F.flatten(F.array(*kinds))), grouped)
+
+
+def _item(k: int, kind: str, exact: bool):
+    return lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(k).alias("k"), i.alias("pos"), F.lit(exact).alias("exact"))
+
+
+def protected_items(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, kind, value, exact, occurrences, ord) of every item to keep."""
+    body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("masked", masked(F.col("text")))
+    return body.select("doc_id", F.inline(items(F.col("text"), F.col("masked"))))
 
 
 PROPER = next(p for k, p, _, _ in KINDS if k == "proper-noun")
@@ -91,20 +115,35 @@ def _cut(pattern: str):
     return lambda v: F.regexp_replace(v, pattern, "")
 
 
+def loose(text: Column) -> Column:
+    """Text with quotes unified, double and single ones apart, and white space collapsed; case counts."""
+    plain = F.regexp_replace(F.regexp_replace(text, "[“”「」]", '"'), "[‘’『』]", "'")
+    return T.trim_all(F.regexp_replace(plain, rf"[{T.SPACE}]+", " "))
+
+
 def preservation(items: DataFrame, rewrites: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, kind, value, occurrences, found, state): 'kept', 'altered' or 'lost' for every item of a rewritten document."""
+    """(doc_id, kind, value, occurrences, found, state, severity): 'kept', 'altered' or 'lost' for every item of a rewritten document, and how grave that is (null if kept)."""
     new = rewrites.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("rewritten"))
+    new = new.select("doc_id", "rewritten", loose(F.col("rewritten")).alias("flat"))
     both = items.join(new, "doc_id")
-    loose = lambda c: F.lower(T.normalized(c))
-    found = F.when(F.col("exact"), T.literal_count(F.col("rewritten"), F.col("value"))).otherwise(T.literal_count(loose(F.col("rewritten")), loose(F.col("value"))))
+    own = loose(F.col("value"))
+    found = F.when(F.col("exact"), T.literal_count(F.col("rewritten"), F.col("value"))).otherwise(T.literal_count(F.col("flat"), own))
     both = both.withColumn("found", found)
-    nearly = F.col("exact") & F.contains(loose(F.col("rewritten")), loose(F.col("value")))
+    nearly = F.col("exact") & F.contains(F.col("flat"), own)
     state = F.when(F.col("found") == 0, F.when(nearly, "altered").otherwise("lost")).when(F.col("found") < F.col("occurrences"), "altered").otherwise("kept")
-    return both.select("doc_id", "kind", "value", "occurrences", "found", state.alias("state"))
+    named = F.col("kind").isin("identifier", "number")
+    gone = F.when(~F.col("exact"), 3).when(named, 5).otherwise(4)
+    severity = F.when(F.col("found") == 0, gone).when(F.col("found") < F.col("occurrences"), F.when(F.col("kind") == "identifier", 4).otherwise(2))
+    return both.select("doc_id", "kind", "value", "occurrences", "found", state.alias("state"), severity.alias("severity"))
+
+
+def score_aggregates() -> list[Column]:
+    """Aggregates of a document's states."""
+    n = lambda s: F.count_if(F.col("state") == s)
+    score = clamp_score(n("kept") / F.count("*") - 0.05 * n("altered") / F.count("*"))
+    return [F.count("*").alias("n_items"), n("kept").alias("kept"), n("altered").alias("altered"), n("lost").alias("lost"), score.alias("preservation_score")]
 
 
 def preservation_scores(states: DataFrame) -> DataFrame:
     """(doc_id, n_items, kept, altered, lost, preservation_score) of documents that have items."""
-    n = lambda s: F.count_if(F.col("state") == s)
-    counts = states.groupBy("doc_id").agg(F.count("*").alias("n_items"), n("kept").alias("kept"), n("altered").alias("altered"), n("lost").alias("lost"))
-    return counts.withColumn("preservation_score", clamp_score(F.col("kept") / F.col("n_items") - 0.05 * F.col("altered") / F.col("n_items")))
+    return states.groupBy("doc_id").agg(*score_aggregates())

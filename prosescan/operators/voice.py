@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from prosescan.functions import text as T
 from prosescan.functions.numbers import blend_distributions, blend_rates, clamp_score, punctuation_score, tolerance_score
+from prosescan.functions.scratch import small_or_shuffled
 from prosescan.operators.behavior import has_marker
 from prosescan.plans import lexicon
 
@@ -65,13 +66,18 @@ def content_units(text: Column) -> Column:
     return F.filter(F.transform(pairs, unit), lambda u: u.isNotNull())
 
 
+def with_features(rows: DataFrame) -> DataFrame:
+    """Rows (text, language) with n_chars, n_sentences, sentence_lengths, paragraph_lengths, burstiness, rates and units of their text."""
+    text = F.col("text")
+    lengths = lambda parts: F.transform(parts, lambda x: F.greatest(F.lit(1.0), F.size(T.tokens(x)).cast("double")))
+    rows = rows.withColumns({"sentence_lengths": lengths(T.sentences(text)), "paragraph_lengths": lengths(T.paragraphs(text))})
+    return rows.withColumns({"burstiness": T.variation(T.moments(F.col("sentence_lengths"))), "n_chars": F.char_length(text), "n_sentences": F.size("sentence_lengths"), "rates": punctuation_rates(text), "units": content_units(text)})
+
+
 def features(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:
     """(doc_id, kept columns, text, language, n_chars, n_sentences, sentence_lengths, paragraph_lengths, burstiness, rates, units) of each text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("*", T.language(F.col("text")).alias("language"), F.transform(T.sentences(F.col("text")), lambda s: F.greatest(F.lit(1.0), F.size(T.tokens(s)).cast("double"))).alias("sentence_lengths"))
-    burst = T.variation(T.moments(F.col("sentence_lengths")))
-    lengths = F.transform(T.paragraphs(F.col("text")), lambda p: F.greatest(F.lit(1.0), F.size(T.tokens(p)).cast("double")))
-    return rows.select("*", F.char_length("text").alias("n_chars"), F.size("sentence_lengths").alias("n_sentences"), lengths.alias("paragraph_lengths"), burst.alias("burstiness"), punctuation_rates(F.col("text")).alias("rates"), content_units(F.col("text")).alias("units"))
+    return with_features(rows.withColumn("language", T.language(F.col("text"))))
 
 
 def chat_features(text: Column) -> Column:
@@ -133,14 +139,17 @@ def without_self(texts: DataFrame, by: Sequence[str]) -> DataFrame:
     return rest.select("doc_id", m.alias("mean"), F.sqrt(v).alias("spread"), n.alias("n"))
 
 
-def compare(texts: DataFrame, profile: DataFrame, by: Sequence[str], avoid: str | None = None, chat: str | None = None, behavior: str | None = None) -> DataFrame:
-    """(doc_id, dimension, score, weight) of every dimension that a text has against its group's profile.
+def with_dimensions(texts: DataFrame, profile: DataFrame, by: Sequence[str], avoid: str | None = None, chat: str | None = None, behavior: str | None = None) -> DataFrame:
+    """Rows of ``with_features`` with ``dimensions``: an array of (dimension, score, weight) against their group's profile, and ``p_sentence``; null without a profile.
 
-    ``profile`` is a small table with one row per group. ``avoid`` (array), ``chat`` (chat_features struct) and
-    ``behavior`` (struct<agreement, offer>) name optional profile columns. A score is null where it cannot be measured.
+    ``profile`` has one row per group and must be cheap to count: it is broadcast if it is small, else the texts are shuffled by group.
+    ``avoid`` (array), ``chat`` (chat_features struct) and ``behavior`` (struct<agreement, offer>) name optional profile columns, the
+    columns of ``texts`` that only they need being ``text``. A score is null where it cannot be measured.
     """
+    kept = texts.columns
     p = profile.select(*by, *[F.col(c).alias(f"p_{c}") for c in profile.columns if c not in by])
-    rows = texts.join(p, list(by))
+    p = small_or_shuffled(p)
+    rows = texts.join(p, list(by), "left") if by else texts.crossJoin(F.broadcast(p.limit(1)))
     c = F.col
     mean = T.mean(T.moments(c("sentence_lengths")))
     wide = lambda *xs: F.greatest(*xs, F.lit(1.0))
@@ -149,7 +158,7 @@ def compare(texts: DataFrame, profile: DataFrame, by: Sequence[str], avoid: str
         "sentenceLength": F.when(gate, tolerance_score(F.abs(mean - c("p_sentence_mean")), wide(c("p_sentence_spread"), c("p_sentence_mean") * 0.2))),
         "burstiness": F.when(gate, tolerance_score(F.abs(c("burstiness") - c("p_burstiness")), F.greatest(F.lit(0.12), F.abs(c("p_burstiness")) * 0.4))),
         "punctuation": F.when((F.size("p_rates") > 0) & (F.size("rates") > 0), punctuation_score(c("rates"), c("p_rates"))),
-        "paragraphLength": F.when((c("p_paragraph_n") > 0) & (F.size(T.paragraphs(c("text"))) >= LEAST_PARAGRAPHS), tolerance_score(F.abs(T.mean(T.moments(c("paragraph_lengths"))) - c("p_paragraph_mean")), wide(c("p_paragraph_spread"), c("p_paragraph_mean") * 0.25))),
+        "paragraphLength": F.when((c("p_paragraph_n") > 0) & (F.size("paragraph_lengths") >= LEAST_PARAGRAPHS), tolerance_score(F.abs(T.mean(T.moments(c("paragraph_lengths"))) - c("p_paragraph_mean")), wide(c("p_paragraph_spread"), c("p_paragraph_mean") * 0.25))),
         "signatureVocabulary": F.when((F.size("p_vocabulary") > 0) & (F.size("units") >= LEAST_UNITS), clamp_score(F.size(F.array_intersect("p_vocabulary", "units")) / F.least(F.size("p_vocabulary"), F.greatest(F.lit(3), F.floor(F.size("units") / 25 + 0.5).cast("int"))))),
     }
     if avoid:
@@ -170,42 +179,67 @@ def compare(texts: DataFrame, profile: DataFrame, by: Sequence[str], avoid: str
         dims["behaviorAgreement"] = F.when(c("n_sentences") > 0, tolerance_score(F.abs(agreed / clauses - b["agreement"]), F.greatest(F.lit(0.05), b["agreement"])))
         dims["behaviorOffer"] = F.when(c("n_sentences") > 0, tolerance_score(F.abs(offered - b["offer"]), F.lit(0.5)))
     each = F.array(*[F.struct(F.lit(name).alias("dimension"), score.cast("double").alias("score"), F.lit(WEIGHTS[name]).alias("weight")) for name, score in dims.items()])
-    return rows.select("doc_id", F.inline(each))
+    target = F.struct(c("p_sentence_mean").alias("mean"), c("p_sentence_spread").alias("spread"), c("p_sentence_n").alias("n"))
+    there = c("p_sentence_n").isNotNull()
+    return rows.withColumns({"dimensions": F.when(there, each), "p_sentence": F.when(there, target)}).select(*kept, "dimensions", "p_sentence")
+
+
+def compare(texts: DataFrame, profile: DataFrame, by: Sequence[str], avoid: str | None = None, chat: str | None = None, behavior: str | None = None) -> DataFrame:
+    """(doc_id, dimension, score, weight) of every dimension that a text has against its group's profile; see ``with_dimensions``."""
+    return with_dimensions(texts, profile, by, avoid, chat, behavior).select("doc_id", F.inline("dimensions"))
+
+
+def row_score(dimensions: Column) -> Column:
+    """Weighted mean of the dimensions that were measured, null if none was."""
+    measured = F.filter(dimensions, lambda d: d["score"].isNotNull())
+    total = lambda f: F.aggregate(measured, F.lit(0.0), lambda a, d: a + f(d))
+    return clamp_score(F.try_divide(total(lambda d: d["score"] * d["weight"]), total(lambda d: d["weight"])))
 
 
 # Rule and least deficit of the dimensions that are reported.
 REPORTED = {"sentenceLength": ("stylometry.fingerprint_sentence_length", 0.3), "punctuation": ("stylometry.fingerprint_punctuation", 0.5), "signatureVocabulary": ("stylometry.fingerprint_vocabulary", 0.6), "avoidVocabulary": ("stylometry.fingerprint_vocabulary", 0.3)}
 
 
+def _short(d: Column, name: str) -> tuple[str, Column, Column, Column]:
+    """Rule, whether a dimension falls short by its threshold, severity and confidence."""
+    rule, least = REPORTED[name]
+    own, avoided, missing = lexicon.severity(rule) or 3, name == "avoidVocabulary", 1 - d["score"]
+    sure = F.greatest(F.lit(0.2), 0.35 + F.least(F.lit(1.0), missing) * 0.35 + (0.2 if avoided else 0.0) - (0.1 if "Vocabulary" in name else 0.0))
+    return rule, (d["dimension"] == name) & (missing >= least), F.lit(min(5, own + 1) if avoided else max(1, own - 1)), F.round(sure, 2)
+
+
+def voice_findings(sigmas: float = 1.5) -> Column:
+    """Findings of a row that has ``rhythm``, ``n_sentences``, ``p_sentence`` and ``dimensions``: its mean sentence length off the profile's by so many deviations, and each dimension that falls short."""
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    made = lambda rule, detector, severity, sure: F.struct(F.lit(rule).alias("rule_id"), F.lit(detector).alias("detector_id"), F.lit("stylometry").alias("family"), severity.cast("int").alias("severity"), sure.cast("double").alias("confidence"), none.alias("evidence"))
+    p, rule = F.col("p_sentence"), "stylometry.distribution_distance"
+    wide = F.when(p["spread"] > 0, p["spread"]).otherwise(F.greatest(F.lit(1.0), p["mean"] * 0.3))
+    off = F.abs(F.coalesce(T.mean(F.col("rhythm")), F.lit(0.0)) - p["mean"]) / wide >= sigmas
+    distance = F.when((p["n"] > 0) & off, made(rule, "stylometry.voice_distance", F.lit(lexicon.severity(rule)), F.when(p["n"] >= 20, 0.6).otherwise(0.35)))
+
+    def each(d: Column) -> Column:
+        out = F.lit(None)
+        for name in REPORTED:
+            rule, over, severity, sure = _short(d, name)
+            out = F.when(over, made(rule, "stylometry.fingerprint_features", severity, sure)).otherwise(out)
+        return out
+
+    every = F.concat(F.array(distance), F.coalesce(F.transform("dimensions", each), F.array()))
+    return F.filter(every, lambda f: f.isNotNull())
+
+
 def dimension_findings(dimensions: DataFrame) -> DataFrame:
     """(doc_id, rule_id, dimension, severity, confidence): dimensions that fall short of the profile by more than their threshold."""
-    d, short = F.col("dimension"), 1 - F.col("score")
-    rule, severity, sure = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("double")
-    for name, (rule_id, least) in REPORTED.items():
-        own = lexicon.severity(rule_id) or 3
-        over = (d == name) & (short >= least)
-        avoided = name == "avoidVocabulary"
-        rule = F.when(over, rule_id).otherwise(rule)
-        severity = F.when(over, min(5, own + 1) if avoided else max(1, own - 1)).otherwise(severity)
-        sure = F.when(over, F.round(F.greatest(F.lit(0.2), 0.35 + F.least(F.lit(1.0), short) * 0.35 + (0.2 if avoided else 0.0) - (0.1 if "Vocabulary" in name else 0.0)), 2)).otherwise(sure)
-    return dimensions.select("doc_id", rule.alias("rule_id"), "dimension", severity.alias("severity"), sure.alias("confidence")).where("rule_id is not null")
-
-
-def distance_findings(texts: DataFrame, profile: DataFrame, by: Sequence[str], sigmas: float = 1.5) -> DataFrame:
-    """(doc_id, rule_id, deviations, severity, confidence): texts whose mean sentence length lies off their group's profile by so many of its deviations."""
-    p = profile.where("sentence_n > 0").select(*by, F.col("sentence_mean").alias("m"), F.col("sentence_spread").alias("s"), F.col("sentence_n").alias("k"))
-    rows = texts.where("n_sentences > 0").join(p, list(by))
-    wide = F.when(F.col("s") > 0, F.col("s")).otherwise(F.greatest(F.lit(1.0), F.col("m") * 0.3))
-    away = F.abs(T.mean(T.moments(F.col("sentence_lengths"))) - F.col("m")) / wide
-    rule = "stylometry.distribution_distance"
-    return rows.select("doc_id", F.lit(rule).alias("rule_id"), away.alias("deviations"), F.lit(lexicon.severity(rule)).alias("severity"), F.when(F.col("k") >= 20, 0.6).otherwise(0.35).alias("confidence")).where(F.col("deviations") >= sigmas)
-
-
-def voice_scores(dimensions: DataFrame) -> DataFrame:
-    """(doc_id, n_dimensions, voice_score): weighted mean of what was measured, null if nothing was."""
-    kept = F.col("score").isNotNull()
-    score = F.try_divide(F.sum(F.when(kept, F.col("score") * F.col("weight"))), F.sum(F.when(kept, F.col("weight"))))
-    return dimensions.groupBy("doc_id").agg(F.count_if(kept).alias("n_dimensions"), clamp_score(score).alias("voice_score"))
+    d = F.struct("dimension", "score")
+    found = [_short(d, name) for name in REPORTED]
+    structs = F.array(*[F.when(over, F.struct(F.lit(rule).alias("rule_id"), severity.alias("severity"), sure.alias("confidence"))) for rule, over, severity, sure in found])
+    return dimensions.select("doc_id", "dimension", F.inline(F.filter(structs, lambda f: f.isNotNull()))).select("doc_id", "rule_id", "dimension", "severity", "confidence")
+
+
+def voice_scores(texts: DataFrame, profile: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(doc_id, n_dimensions, voice_score) of feature rows: weighted mean of what was measured, null if nothing was; folded within the row."""
+    rows = with_dimensions(texts, profile, by)
+    return rows.where("dimensions is not null").select("doc_id", F.size(F.filter("dimensions", lambda d: d["score"].isNotNull())).alias("n_dimensions"), row_score(F.col("dimensions")).alias("voice_score"))
 
 
 def worsened(before: DataFrame, after: DataFrame, tolerance: float = 0.05) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosescan.functions import text as T
+from prosescan.functions.scratch import materialize
 from prosescan.operators import behavior, contract, detectors, protected, scoring, voice
-from prosescan.plans import lexicon, patterns
+from prosescan.plans import api, lexicon, patterns
 from prosescan.sources.tables import spread, table
 
 
@@ -51,12 +52,12 @@ def structure_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = F.size(heads) + items
     return docs.select(
         "doc_id", bolds.cast("bigint").alias("n_bold"), F.size(heads).cast("bigint").alias("n_headings"), F.size(F.filter(heads, detectors.title_case)).cast("bigint").alias("n_title_case"), items.cast("bigint").alias("n_items"),
-        ((bolds >= 3) & (T.per_thousand(bolds, size) >= 12)).alias("bold_decoration"), ((marks >= 6) & (T.per_thousand(marks, size) >= 20)).alias("excessive_structure"), detectors.one_line_closers(F.col("text")).cast("bigint").alias("n_closers"),
+        ((bolds >= 3) & (T.per_thousand(bolds, size) >= 12)).alias("bold_decoration"), ((marks >= 6) & (T.per_thousand(marks, size) >= 20)).alias("excessive_structure"), F.size(detectors.one_line_closers(F.col("text"))).cast("bigint").alias("n_closers"),
     )
 
 
 def restated_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", detectors.restated_headings(F.col("text")).cast("bigint").alias("n_restated")).where("n_restated > 0")
+    return _docs(spark, sf_dir).select("doc_id", F.size(detectors.restated_headings(F.col("text"))).cast("bigint").alias("n_restated"))
 
 
 def chinese_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,20 +92,25 @@ def template_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _phrase_totals(spark, sf_dir, "template")
 
 
-def _kept(spark: SparkSession, docs: DataFrame, families: list[str] | None = None) -> DataFrame:
-    found = detectors.findings(docs, families)
-    return scoring.suppress(found, docs, lexicon.rules_table(spark))
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.scanned(_docs(spark, sf_dir, "user_turn", "advice_permission"))
 
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return _kept(spark, docs).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "rule_id", "detector_id", "family", F.col("severity").cast("bigint").alias("severity"), "confidence", "reason")
+    """Every finding of every text with the reason for which it was suppressed, if it was; detectors and behaviours."""
+    rows = _scanned(spark, sf_dir).select("doc_id", F.posexplode("judged").alias("ord", "f")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "f.*")
+    return rows.select("doc_id", "ord", "rule_id", "detector_id", "family", F.col("severity").cast("bigint").alias("severity"), "confidence", F.size("evidence").cast("bigint").alias("n_evidence"), "reason")
 
 
 def scan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    merged = scoring.collapse(_kept(spark, docs).where("reason is null"))
-    return scoring.anti_ai_scores(merged, docs).select("doc_id", *_long("n_findings"), *_round("anti_ai_score"))
+    """One pass over the texts: findings, suppression, collapse and score within each text's row."""
+    return _scanned(spark, sf_dir).select("doc_id", F.size("merged").cast("bigint").alias("n_findings"), *_round("anti_ai_score"))
+
+
+def score_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule takes from a text's score."""
+    rows = _scanned(spark, sf_dir).select("doc_id", F.inline(scoring.contributions(F.col("merged"))))
+    return rows.select("doc_id", F.col("label").alias("rule_id"), "value", F.col("weight").cast("bigint").alias("severity"))
 
 
 PROSE_TELLS = ["rhythm.uniform_rhythm", "rhythm.dash_overuse", "rhythm.repeated_openings", "rhythm.forced_triad", "formatting.bold_decoration", "lexical.low_lexical_diversity"]
@@ -112,14 +118,15 @@ PROSE_TELLS = ["rhythm.uniform_rhythm", "rhythm.dash_overuse", "rhythm.repeated_
 
 def prose_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ranked by their prose tells: six detectors, collapsed per rule, scored."""
-    docs = _docs(spark, sf_dir)
-    found = detectors.findings(docs, only=(detectors.rhythm_detectors, detectors.structural_detectors, detectors.stylometry_detectors)).where(F.col("rule_id").isin(*PROSE_TELLS))
-    merged = scoring.collapse(found)
-    return scoring.anti_ai_scores(merged, docs).select("doc_id", *_long("n_findings"), *_round("anti_ai_score"), F.array_join("rules", ",").alias("rules"))
+    rows = detectors.with_findings(_docs(spark, sf_dir), only=(detectors.rhythm_detectors, detectors.structural_detectors, detectors.stylometry_detectors))
+    merged = scoring.collapsed(F.filter("found", lambda f: f["rule_id"].isin(*PROSE_TELLS)))
+    rows = rows.withColumn("merged", merged)
+    return rows.select("doc_id", F.size("merged").cast("bigint").alias("n_findings"), F.round(scoring.anti_ai_score(F.col("merged")), 6).alias("anti_ai_score"), F.array_join(F.array_sort(F.transform("merged", lambda f: f["rule_id"])), ",").alias("rules"))
 
 
 def findings_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.counts_by(_kept(spark, _docs(spark, sf_dir)).where("reason is null"), "family")
+    """Texts' collapsed findings by family."""
+    return scoring.counts_by(_scanned(spark, sf_dir).select(F.inline("merged")), "family")
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +153,7 @@ def behavior_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def behavior_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = behavior.behavior_scores(behavior.outcomes(_replies(spark, sf_dir), "doc_id", "text"))
+    rows = behavior.behavior_scores(_replies(spark, sf_dir), "doc_id", "text")
     return rows.select(F.col("reply_id").alias("doc_id"), *_round("behavior_score"), *_long("abstained", "suppressed", "unjudged", "fired", "judged"))
 
 
@@ -169,15 +176,18 @@ def voice_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", *_long("n_texts", "n_chars", "sentence_n", "paragraph_n"), *_round("sentence_mean", "sentence_spread", "paragraph_mean", "paragraph_spread", "burstiness"), "thin")
 
 
+def _profiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Features of all texts, computed once, and the profile of each source."""
+    texts = materialize(_voices(spark, sf_dir, "source").drop("text"), "features")
+    return texts, materialize(voice.profiles(texts, ["source"]), "profiles")
+
+
 def voice_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _voices(spark, sf_dir, "source")
-    dims = voice.compare(texts, voice.profiles(texts, ["source"]), ["source"]).where("dimension in ('sentenceLength', 'burstiness')")
-    return dims.select("doc_id", "dimension", *_round("score"))
+    return voice.compare(*_profiled(spark, sf_dir), ["source"]).select("doc_id", "dimension", *_round("score"))
 
 
 def voice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _voices(spark, sf_dir, "source")
-    return voice.voice_scores(voice.compare(texts, voice.profiles(texts, ["source"]), ["source"])).select("doc_id", *_long("n_dimensions"), *_round("voice_score"))
+    return voice.voice_scores(*_profiled(spark, sf_dir), ["source"]).select("doc_id", *_long("n_dimensions"), *_round("voice_score"))
 
 
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,16 +226,14 @@ def strategy_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewrite_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, docs = table(spark, sf_dir, "documents"), _docs(spark, sf_dir)
-    merged = scoring.collapse(_kept(spark, docs).where("reason is null"))
-    rows = contract.contracts(contract.routed(source, "doc_id", "text", "mode"), merged, protected.protected_items(source, "doc_id", "text"))
+    rows = api.prepare(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "mode")), "doc_id", "text", "mode")
     return rows.select("doc_id", "strategy", *_long("n_rules", "n_protected"), "contract")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        text_stats, lexical_features, rhythm_signals, structure_signals, restated_headings, chinese_signals, english_signals, phrase_hits, template_hits, scan_findings, scan_scores, prose_tells,
+        text_stats, lexical_features, rhythm_signals, structure_signals, restated_headings, chinese_signals, english_signals, phrase_hits, template_hits, scan_findings, scan_scores, score_contributions, prose_tells,
         findings_by_family, turn_overlap, advice_permission, behavior_outcomes, behavior_scores, punctuation_rates, signature_vocabulary, voice_profiles, voice_dimensions, voice_scores, leave_one_out,
         voice_drift, protected_items, protected_quotes, preservation_scores, strategy_routes, rewrite_contracts,
     )
@@ -414,7 +422,7 @@ SELECT rule_id, phrase, count(*) AS n_docs, sum(n)::BIGINT AS n_hits FROM hits G
 WITH {DOCS}, {LEXICAL}, {RUNS},
 found AS (
   SELECT doc_id, 'rhythm.uniform_rhythm' AS rule_id, 4 AS sev, 0.75 AS conf FROM stats WHERE len(sentences) >= 5 AND burstiness < 0.35
-  UNION ALL SELECT doc_id, 'rhythm.uniform_rhythm', 4, 0.45 FROM anchored WHERE language = 'en' AND n_words >= 150 AND s_cv >= 0.6
+  UNION ALL SELECT doc_id, 'rhythm.uniform_rhythm', 4, 0.45 FROM anchored WHERE language = 'en' AND n_words >= 150 AND n_types >= 40 AND s_cv >= 0.6
   UNION ALL SELECT doc_id, 'rhythm.dash_overuse', 4, 0.8 FROM docs WHERE len({DASHES}) >= 3 AND len({DASHES}) * 1000.0 / length(body) >= 6
   UNION ALL SELECT doc_id, 'rhythm.repeated_openings', 3, 0.85 FROM runs WHERE longest_run >= 3
   UNION ALL SELECT doc_id, 'rhythm.forced_triad', 3, 0.6 FROM docs WHERE len({TRIADS}) >= 3
@@ -484,9 +492,9 @@ clean AS (SELECT doc_id, kind, """ + trim_sql("value") + r""" AS value FROM foun
 SELECT doc_id, kind, value, count(*) AS occurrences FROM clean WHERE value <> '' GROUP BY ALL
 """,
     "strategy_routes": rf"""
-WITH counted AS (SELECT doc_id, coalesce(text, '') AS body, mode AS given, {n_sql("coalesce(text, '')", CJK)} AS n_cjk, {n_sql("coalesce(text, '')", '[A-Za-z]')} AS n_latin FROM documents),
+WITH counted AS (SELECT doc_id, {trim_sql("coalesce(text, '')")} AS body, mode AS given, {n_sql("coalesce(text, '')", CJK)} AS n_cjk, {n_sql("coalesce(text, '')", '[A-Za-z]')} AS n_latin FROM documents),
 routed AS (
-  SELECT {LANGUAGE} AS language, coalesce(given, CASE WHEN regexp_matches(body, '```|`[^`\n]+`') THEN 'technical' WHEN length(body) <= 240 AND regexp_matches(body, '[?？]') THEN 'chat' ELSE 'unknown' END) AS mode, length(body) BETWEEN 1 AND 240 AS short FROM counted
+  SELECT {LANGUAGE} AS language, coalesce(nullif(given, 'unknown'), CASE WHEN regexp_matches(body, '```|`[^`\n]+`') THEN 'technical' WHEN length(body) <= 240 AND regexp_matches(body, '[?？]') THEN 'chat' ELSE 'unknown' END) AS mode, length(body) BETWEEN 1 AND 240 AS short FROM counted
 )
 SELECT language, mode, CASE WHEN mode = 'chat' AND language = 'zh' AND short THEN 'zh-chat' WHEN mode = 'chat' AND language = 'en' AND short THEN 'en-chat' WHEN mode = 'chat' THEN 'chat-long-turn'
   WHEN language = 'zh' AND mode IN ('prose', 'unknown') THEN 'zh-prose' WHEN language = 'en' AND mode IN ('prose', 'unknown') THEN 'en-prose' WHEN mode IN ('formal', 'technical', 'public') THEN mode ELSE 'default' END AS strategy, count(*) AS n, count(*) FILTER (short) AS n_short

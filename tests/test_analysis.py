@@ -64,27 +64,48 @@ def test_rejected_templates():
     assert patterns.too_common("the") and patterns.too_common("你好") and not patterns.too_common("deep dive")
 
 
-F_SCHEMA = "doc_id long, ord int, rule_id string, detector_id string, family string, severity int, confidence double, evidence array<struct<start:int,end:int,text:string>>"
+F_SCHEMA = "doc_id long, text string, found array<struct<rule_id:string,detector_id:string,family:string,severity:int,confidence:double,evidence:array<struct<start:int,end:int,text:string>>>>"
 
 
 def test_collapse_and_score(spark):
-    rows = [(1, 0, "r", "d", "lexical", 3, 0.5, [(0, 1, "a")]), (1, 1, "r", "e", "lexical", 5, 0.4, [(2, 3, "b")]), (2, 0, "s", "d", "lexical", 5, 1.0, []), (3, 0, "t", "d", "assistant", 5, 1.0, [])]
-    merged = scoring.collapse(spark.createDataFrame(rows, F_SCHEMA))
-    one = merged.where("doc_id = 1").first()
-    assert one.severity == 5 and one.confidence == 0.5 and [e.text for e in one.evidence] == ["a", "b"] and one.detector_id == "e"
-    docs = spark.createDataFrame([(i,) for i in range(1, 5)], "doc_id long")
-    got = {r.doc_id: r.anti_ai_score for r in scoring.anti_ai_scores(merged, docs).collect()}
-    assert got[2] == pytest.approx(1 - 1 / 8) and got[3] == 1 and got[4] == 1
+    rows = [(1, "", [("r", "d", "lexical", 3, 0.5, [(0, 1, "a")]), ("r", "e", "lexical", 5, 0.4, [(2, 3, "b")]), ("r", "f", "lexical", 5, 0.45, [])]), (2, "", [("s", "d", "lexical", 5, 1.0, [])]), (3, "", [("t", "d", "assistant", 5, 1.0, [])]), (4, "", [])]
+    got = {r.doc_id: r for r in scoring.scanned(spark.createDataFrame(rows, F_SCHEMA)).withColumn("c", scoring.contributions(F.col("merged"))).collect()}
+    one = got[1].merged[0]
+    # the second claim is graver; the third is as grave, but no surer than the surest so far
+    assert len(got[1].merged) == 1 and one.severity == 5 and one.confidence == 0.5 and [e.text for e in one.evidence] == ["a", "b"] and one.detector_id == "e"
+    assert got[2].anti_ai_score == pytest.approx(1 - 1 / 8) and got[3].anti_ai_score == 1 and got[4].anti_ai_score == 1
+    assert [(c.label, c.value) for c in got[1].c] == [("r", 0.5)] and got[3].c == []
 
 
 def test_suppression(spark):
-    docs = spark.createDataFrame([(1, 'He said "a bad word here" and left.'), (2, "plain"), (3, "plain"), (4, "plain")], "doc_id long, text string")
     weak = "lexical.stacked_qualifiers"
-    row = lambda d, o, r, s: (d, o, r, "d", "lexical", 3, 0.5, [(s, s + 1, "x")])
-    rows = [row(1, 0, "lexical.ai_vocabulary", 12), row(2, 0, weak, 0), row(2, 1, "lexical.ai_vocabulary", 0), row(2, 2, "lexical.restatement", 0), row(3, 0, weak, 0), row(4, 0, weak, 0), row(4, 1, "lexical.passive_and_subjectless", 0)]
-    got = scoring.suppress(spark.createDataFrame(rows, F_SCHEMA), docs, lexicon.rules_table(spark))
-    why = {(r.doc_id, r.ord): r.reason for r in got.collect()}
-    assert why[1, 0] == "inside a quotation" and why[2, 0] is None and why[3, 0] == "weak alone" and why[4, 0] == why[4, 1] == "weak alone"
+    row = lambda r, s: (r, "d", "lexical", 3, 0.5, [(s, s + 1, "x")])
+    rows = [
+        (1, 'He said "a bad word here" and left.', [row("lexical.ai_vocabulary", 12)]), (2, "plain", [row(weak, 0), row("lexical.ai_vocabulary", 0), row("lexical.restatement", 0)]), (3, "plain", [row(weak, 0)]),
+        (4, "plain", [row(weak, 0), row("lexical.passive_and_subjectless", 0)]), (5, "# Title\n`x`", [("r", "d", "lexical", 3, 0.5, [(9, 10, "x"), (0, 1, "#")])]), (6, "plain", [("r", "d", "lexical", 3, 0.5, [])]),
+    ]
+    why = {r.doc_id: [f.reason for f in r.judged] for r in scoring.scanned(spark.createDataFrame(rows, F_SCHEMA)).collect()}
+    assert why == {1: ["inside a quotation"], 2: [None] * 3, 3: ["weak alone"], 4: ["weak alone"] * 2, 5: ["inside a code"], 6: [None]}
+    old = {r.doc_id: [f.reason for f in r.judged] for r in scoring.scanned(spark.createDataFrame(rows, F_SCHEMA), predates=True).collect()}
+    assert all(x is None for xs in old.values() for x in xs)
+
+
+def test_findings_in_headings_are_exempt(spark):
+    from prosescan.plans import api
+
+    text = "# Parser Error Recovery\n## Details\n\nParser error recovery matters.\n"
+    rows = api.scanned(detectors.prepared(spark.createDataFrame([(1, text), (2, "word " * 300)], "doc_id long, text string"), "doc_id", "text")).collect()
+    found = {r.doc_id: {f.rule_id: f for f in r.judged} for r in rows}
+    hit = found[1]["structural.heading_restated"]
+    assert hit.reason == "inside a title" and hit.evidence[0].start == 0 and found[2].get("rhythm.uniform_rhythm") is None
+
+
+def test_resolution(spark):
+    found = spark.createDataFrame([("a", "u"), ("old", "u"), ("7", "u"), ("7", "v"), ("?", "u")], "rule_id string, upstream string")
+    rules, aliases = spark.createDataFrame([("a",), ("b",)], "rule_id string"), spark.createDataFrame([("old", "b")], "alias string, rule_id string")
+    claims = spark.createDataFrame([("u", "7", "b"), ("u", "7", "a")], "upstream string, upstream_rule_id string, rule_id string")
+    got = {(r.rule_id, r.upstream): r.canonical_id for r in scoring.resolved(found, rules, aliases, claims).collect()}
+    assert got == {("a", "u"): "a", ("old", "u"): "b", ("7", "u"): "a", ("7", "v"): None, ("?", "u"): None}
 
 
 REPLY = "id long, text string, user_turn string, advice_permission string"
@@ -112,7 +133,7 @@ def test_behavior(spark, reply, turn, permission, rule, outcome):
 
 def test_behavior_score_counts_only_discriminating_ones(spark):
     rows = [(1, "Great question! I understand how you feel. Absolutely, you are right. Let me know if you want more.", "a b c", None), (2, "Let me know if you want more.", None, None)]
-    got = {r.reply_id: r for r in behavior.behavior_scores(behavior.outcomes(spark.createDataFrame(rows, REPLY), "id", "text")).collect()}
+    got = {r.reply_id: r for r in behavior.behavior_scores(spark.createDataFrame(rows, REPLY), "id", "text").collect()}
     assert got[1].behavior_score == pytest.approx(1 - (0.42 + 0.64 + 0.39) / 3) and got[2].behavior_score == 1 and got[2].unjudged == 2 and got[2].judged == 8
 
 
@@ -138,7 +159,10 @@ def test_preservation(spark):
     docs = spark.createDataFrame([(1, "Ada Lovelace met Ada Lovelace in 1843."), (2, "nothing")], "id long, text string")
     new = spark.createDataFrame([(1, "We saw Ada Lovelace."), (2, "x")], "id long, text string")
     states = protected.preservation(protected.protected_items(docs, "id", "text"), new, "id", "text")
-    assert {r.value: r.state for r in states.collect()} == {"Ada Lovelace": "altered", "1843": "lost"}
+    assert {r.value: (r.state, r.severity) for r in states.collect()} == {"Ada Lovelace": ("altered", 2), "1843": ("lost", 5)}
+    docs = spark.createDataFrame([(3, 'OpenClaw said "Keep  it" here.')], "id long, text string")
+    new = spark.createDataFrame([(3, "openclaw said “keep it” here.")], "id long, text string")
+    assert {r.value: r.state for r in protected.preservation(protected.protected_items(docs, "id", "text"), new, "id", "text").collect()} == {"OpenClaw": "lost", "Keep  it": "lost"}
     got = protected.preservation_scores(states).collect()
     assert len(got) == 1 and got[0].preservation_score == 0
 
@@ -148,7 +172,7 @@ def test_voice(spark):
     texts = voice.features(docs, "id", "text", "g")
     prof = voice.profiles(texts, ["g"])
     assert [(r.g, r.sentence_n, r.sentence_mean, r.thin) for r in prof.collect()] == [("a", 4, 3.0, True)]
-    got = {r.doc_id: r for r in voice.voice_scores(voice.compare(texts, prof, ["g"])).collect()}
+    got = {r.doc_id: r for r in voice.voice_scores(texts, prof, ["g"]).collect()}
     assert got[1].voice_score == 1 and set(got) == {1, 2}
     assert {r.doc_id: (r.mean, r.n) for r in voice.without_self(texts.where("n_sentences > 0"), ["g"]).collect()} == {1: (3.0, 2), 2: (3.0, 2)}
     row = spark.range(1).select(voice.content_units(F.lit("赋能 抓手 the Parser it's")).alias("u"), voice.punctuation_rates(F.lit("好。")).alias("p"), voice.chat_features(F.lit("a<!-- msg -->b<!-- msg -->c<!-- msg -->d?")).alias("c")).first()
@@ -161,7 +185,7 @@ def test_hazards(spark):
     assert [x.hazard for x in row.h] == ["fabricated-data"] and row.n == ["keep it short"]
 
 
-@pytest.mark.parametrize(("text", "mode", "want"), [("hi there?", None, "en-chat"), ("你好吗？", "chat", "zh-chat"), ("plain text here", "prose", "en-prose"), ("see `x` now", None, "technical"), (None, None, "default")])
+@pytest.mark.parametrize(("text", "mode", "want"), [("hi there?", None, "en-chat"), ("你好吗？", "chat", "zh-chat"), ("plain text here", "prose", "en-prose"), ("see `x` now", None, "technical"), ("see `x` now", "unknown", "technical"), (None, None, "default")])
 def test_strategy(spark, text, mode, want):
     got = contract.routed(spark.createDataFrame([(1, text, mode)], "id long, text string, mode string"), "id", "text", "mode").first()
     assert got.strategy == want
@@ -177,11 +201,15 @@ def test_composed_scores(spark):
 def test_a_contract_keeps_every_rule_and_item(spark):
     from prosescan.operators import contract
 
-    routes = spark.createDataFrame([(1, "en", "prose", False, "en-prose")], "doc_id long, language string, mode string, short boolean, strategy string")
-    rules = spark.createDataFrame([(1, f"rule{i:02}", 1 + i % 5) for i in range(25)], "doc_id long, rule_id string, severity int")
-    items = spark.createDataFrame([(1, i, "number", str(i), 1, True) for i in range(260)], "doc_id long, ord int, kind string, value string, occurrences int, exact boolean")
-    row = contract.contracts(routes, rules, items).first()
-    assert (row.n_rules, row.n_protected) == (25, 260) and '"value":"259"' in row.contract
+    found = [(f"rule{i:02}", "d", "lexical", 5 - i % 5, 0.5, []) for i in range(25)]
+    items = [("number", str(i), True, 1, (10, i)) for i in range(390)]
+    schema = F_SCHEMA.replace("text string, found", "language string, mode string, strategy string, merged") + ", items array<struct<kind:string,value:string,exact:boolean,occurrences:int,ord:struct<k:int,pos:int>>>"
+    rows = spark.createDataFrame([(1, "en", "chat", "en-chat", found, items), (2, "zh", "prose", "zh-prose", [], [])], schema)
+    made = contract.contracts(rows, guidance={"rule03": "Do it."}, required=["Say it."], forbidden=["No lie."], behaviors=["Answer first."])
+    one, two = made.withColumn("text", contract.rendered(F.col("contract"))).orderBy("doc_id").collect()
+    assert (one.n_rules, one.n_protected) == (25, 390) and '"value":"389"' in one.contract
+    assert "4. **rule03** (severity 2) — Do it." in one.text and "- `389` (number, exact)" in one.text and "- Answer first." in one.text and "- Say it." in one.text
+    assert two.n_rules == 0 and "## Fix" not in two.text and "Answer first" not in two.text
 
 
 def test_exempt_spans_have_no_limit(spark):

@@ -23,7 +23,14 @@ def test_scan_prepare_validate(spark):
     assert {r.doc_id: r.strategy for r in api.prepare(texts).collect()} == {1: "en-prose", 2: "default"}
     pairs = spark.createDataFrame([(1, "Keep 1843 and 1844.", "Keep 1843. Great question! Absolutely, I understand how you feel."), (2, "plain words", "plain words")], "pair_id long, original string, rewritten string")
     got = {r.pair_id: r for r in api.validate(pairs).collect()}
-    assert got[1].retry and got[1].behavior_regressed and got[1].scores.preservation_score == 0.5
+    assert got[1].retry and got[1].regressed == ["behavior_score"] and got[1].scores.preservation_score == 0.5 and [(i.kind, i.value, i.state) for i in got[1].issues] == [("number", "1844", "lost")]
+    texts = spark.createDataFrame([(i, "a", "One two three four. Five six seven eight nine. Ten eleven. " * 3) for i in range(5)], "doc_id long, g string, text string")
+    profile = voice.profiles(voice.features(texts, "doc_id", "text", "g"), ["g"])
+    rewritten = spark.createDataFrame([(7, "a", "One two three four. Five six seven.", "word " * 200)], "pair_id long, g string, original string, rewritten string")
+    row = api.validate(rewritten, profile=profile, by=["g"]).first()
+    assert row.regressed == ["voice_score"] and row.retry and row.before.voice_score > row.after.voice_score
+    off = api.scan(rewritten.withColumnRenamed("rewritten", "text"), "pair_id", "text", profile=profile, by=["g"]).first()
+    assert "stylometry.distribution_distance" in off.rules and off.scores.voice_score is not None
     assert not got[2].retry and got[2].scores.preservation_score is None
 
 
