@@ -32,6 +32,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def each(array: Column | str) -> Column:
+    """An array of structs to explode. Exploding a bare column makes the optimizer push its size as a filter below all that computes it, which then runs again for every condition."""
+    return F.filter(array, lambda x: x.isNotNull())
+
+
 def count(text: Column, pattern: str | Column) -> Column:
     """Number of matches of a pattern; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))

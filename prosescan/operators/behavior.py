@@ -109,7 +109,7 @@ def outcomes(replies: DataFrame, reply_id: str, reply: str, user_turn: str = "us
         (F.col(solution) if solution else F.lit(None).cast("string")).alias("solution"), (F.col(kinds) if kinds else F.lit(None).cast("array<string>")).alias("kinds"),
     )
     c = F.col
-    return with_outcomes(rows, c("text"), c("user"), c("permission"), c("solution"), c("kinds")).select("reply_id", F.inline("outcomes"))
+    return with_outcomes(rows, c("text"), c("user"), c("permission"), c("solution"), c("kinds")).select("reply_id", F.inline(T.each("outcomes")))
 
 
 def row_score(outcomes: Column, budget: float = 3.0) -> Column:

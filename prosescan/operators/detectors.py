@@ -357,5 +357,5 @@ def _typed(columns: str) -> str:
 
 def findings(docs: DataFrame, families: Iterable[str] | None = None, most: int = 500, only: Iterable[Callable[[Column], Column | list[Column]]] | None = None) -> DataFrame:
     """Raw findings (doc_id, ord, rule_id, detector_id, family, severity, confidence, evidence) of prepared texts, as rows."""
-    rows = with_findings(docs, families, most, only).select("doc_id", F.posexplode("found").alias("ord", "f"))
+    rows = with_findings(docs, families, most, only).select("doc_id", F.posexplode(T.each("found")).alias("ord", "f"))
     return rows.select("doc_id", "ord", "f.*")

@@ -23,10 +23,18 @@ def long_scores(results: DataFrame, *keys: str) -> DataFrame:
     return results.select(*keys, F.inline(each))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum as a decimal of 18 places, which doesn't depend on the order of the rows."""
+    return F.sum(x.cast("decimal(28,18)")).cast("double")
+
+
 def summary_cells(results: DataFrame, *by: str) -> DataFrame:
-    """(by, score, n, unmeasured, mean, median, spread, least, most) of every cell."""
-    x = F.col("value")
-    return long_scores(results, *by).groupBy(*by, "score").agg(F.count("value").alias("n"), F.count_if(x.isNull()).alias("unmeasured"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_pop("value").alias("spread"), F.min("value").alias("least"), F.max("value").alias("most"))
+    """(by, score, n, unmeasured, mean, median, spread, least, most) of every cell; mean and spread from sums that don't depend on the order of the rows."""
+    x, n = F.col("value"), F.count("value")
+    mean = F.try_divide(exact_sum(x), n)
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(exact_sum(x * x), n) - mean * mean))
+    some = lambda c: F.when(n > 0, c)
+    return long_scores(results, *by).groupBy(*by, "score").agg(n.alias("n"), F.count_if(x.isNull()).alias("unmeasured"), mean.alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), some(spread).alias("spread"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 def flags(results: DataFrame, *by: str) -> DataFrame:
@@ -144,3 +152,28 @@ def is_refusal(reply: Column) -> Column:
 def rule_class(fired_a: Column, fired_b: Column, least: int = 4) -> Column:
     """'A' where only machine text fires, 'B' where both do, 'C' where human text fires more; null below the floor of firings."""
     return F.when(fired_a + fired_b < least, None).when(fired_a == 0, "A").when(fired_b > fired_a, "B").otherwise("C")
+
+
+def hypothesis(found: DataFrame, least: float = 0.6, most: float = 0.4) -> DataFrame:
+    """Separations with ``verdict``: 'untested' without one, 'supported' from ``least`` on, 'reversed' up to ``most``, else 'not separated'."""
+    s = F.col("separation")
+    return found.withColumn("verdict", F.when(s.isNull(), "untested").when(s >= least, "supported").when(s <= most, "reversed").otherwise("not separated"))
+
+
+def flagged_human_rules(findings: DataFrame, samples: DataFrame, sample: str, rule: str = "rule_id") -> DataFrame:
+    """(rule, samples, share): how many human-written samples each rule fires in, and of all human-written ones; rules that fire in none have no row.
+
+    ``samples`` has (sample, provenance), one row per sample; it is cut to the human-written ones before the findings meet it.
+    """
+    human = samples.where("provenance = 'human-written'").select(sample)
+    hits = findings.select(sample, rule).distinct().join(human, sample).groupBy(rule).agg(F.count("*").alias("samples"))
+    return hits.crossJoin(F.broadcast(human.agg(F.count("*").alias("_n")))).select(rule, "samples", F.try_divide("samples", "_n").alias("share"))
+
+
+def abstentions(outcomes: DataFrame, states: DataFrame) -> DataFrame:
+    """(rule_id, state, source, n): replies in which a rule abstained, by what stopped it and whether that was stated.
+
+    ``states`` has (reply_id, state, source): the permission that held and whether it was 'explicit' or the 'default'.
+    """
+    held = outcomes.where("outcome = 'abstained'").select("reply_id", "rule_id").join(states, "reply_id")
+    return held.groupBy("rule_id", "state", "source").agg(F.count("*").alias("n"))

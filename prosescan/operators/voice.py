@@ -99,7 +99,7 @@ def chat_features(text: Column) -> Column:
 
 def signature_vocabulary(texts: DataFrame, by: Sequence[str], most: int = VOCABULARY, least: int = LEAST_COUNT) -> DataFrame:
     """(by, vocabulary): the most frequent content units of each group, that occur often enough."""
-    counts = texts.select(*by, F.explode("units").alias("unit")).groupBy(*by, "unit").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    counts = texts.select(*by, F.explode(T.each("units")).alias("unit")).groupBy(*by, "unit").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "unit"))).where(F.col("rank") <= most)
     return ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", "unit"))).alias("v")).select(*by, F.col("v.unit").alias("vocabulary"))
 
@@ -186,7 +186,7 @@ def with_dimensions(texts: DataFrame, profile: DataFrame, by: Sequence[str], avo
 
 def compare(texts: DataFrame, profile: DataFrame, by: Sequence[str], avoid: str | None = None, chat: str | None = None, behavior: str | None = None) -> DataFrame:
     """(doc_id, dimension, score, weight) of every dimension that a text has against its group's profile; see ``with_dimensions``."""
-    return with_dimensions(texts, profile, by, avoid, chat, behavior).select("doc_id", F.inline("dimensions"))
+    return with_dimensions(texts, profile, by, avoid, chat, behavior).select("doc_id", F.inline(T.each("dimensions")))
 
 
 def row_score(dimensions: Column) -> Column:

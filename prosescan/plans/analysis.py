@@ -98,7 +98,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of every text with the reason for which it was suppressed, if it was; detectors and behaviours."""
-    rows = _scanned(spark, sf_dir).select("doc_id", F.posexplode("judged").alias("ord", "f")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "f.*")
+    rows = _scanned(spark, sf_dir).select("doc_id", F.posexplode(T.each("judged")).alias("ord", "f")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "f.*")
     return rows.select("doc_id", "ord", "rule_id", "detector_id", "family", F.col("severity").cast("bigint").alias("severity"), "confidence", F.size("evidence").cast("bigint").alias("n_evidence"), "reason")
 
 
@@ -126,7 +126,7 @@ def prose_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts' collapsed findings by family."""
-    return scoring.counts_by(_scanned(spark, sf_dir).select(F.inline("merged")), "family")
+    return scoring.counts_by(_scanned(spark, sf_dir).select(F.inline(T.each("merged"))), "family")
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,6 +380,14 @@ outcomes AS ({" UNION ALL ".join(f"SELECT doc_id, {q(s)} AS rule_id, {_outcome_s
 CHARGES = " ".join(f"WHEN {q(s)} THEN {round(sev / 5 * behavior.CONFIDENCE[s], 4)}" for s, (sev, cls) in lexicon.smells().items() if cls == "discriminating")
 STOPS = ", ".join(q(w) for w in voice.STOP_WORDS.split())
 
+UNITS = f"""toks AS (SELECT doc_id, source, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM docs),
+pairs AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM toks),
+units AS (
+  SELECT doc_id, source, CASE WHEN length(t) > 1 THEN CASE WHEN t NOT IN ({STOPS}) THEN t END
+    WHEN regexp_matches(t, '^{CJK}$') AND regexp_matches(u, '^{CJK}$') AND t NOT IN ({STOPS}) AND u NOT IN ({STOPS}) AND t || u NOT IN ({STOPS}) THEN t || u END AS unit FROM pairs
+),
+counts AS (SELECT source, unit, count(*) AS n FROM units WHERE unit IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)"""
+
 SQL = {
     "text_stats": f"WITH {DOCS} SELECT doc_id, language, length(body) AS n_chars, n_cjk, n_latin, len(sentences) AS n_sentences, len(tokens) AS n_tokens, round(mean_length, 6) AS mean_length, round(spread_length, 6) AS spread_length, round(burstiness, 6) AS burstiness FROM stats",
     "lexical_features": f"WITH {DOCS}, {LEXICAL} SELECT doc_id, n_types, round(ttr, 6) AS ttr, round(cv, 6) AS cv, round(hapax, 6) AS hapax, round(CASE WHEN enough THEN (s_ttr + s_cv + s_hapax) / 3 ELSE 0.5 END, 6) AS score FROM anchored",
@@ -449,25 +457,34 @@ SELECT lang, mark, count(*) AS n_docs, round(avg(rate), 3) AS mean_rate FROM rat
 """,
     "signature_vocabulary": f"""
 WITH {DOCS},
-toks AS (SELECT doc_id, source, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM docs),
-pairs AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM toks),
-units AS (
-  SELECT source, CASE WHEN length(t) > 1 THEN CASE WHEN t NOT IN ({STOPS}) THEN t END
-    WHEN regexp_matches(t, '^{CJK}$') AND regexp_matches(u, '^{CJK}$') AND t NOT IN ({STOPS}) AND u NOT IN ({STOPS}) AND t || u NOT IN ({STOPS}) THEN t || u END AS unit FROM pairs
-),
-counts AS (SELECT source, unit, count(*) AS n FROM units WHERE unit IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
+{UNITS}
 SELECT source, row_number() OVER (PARTITION BY source ORDER BY n DESC, unit) - 1 AS place, unit FROM counts QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, unit) <= 40
 """,
     "voice_profiles": f"WITH {DOCS}, {VOICES}, {profile_sql('source')} SELECT source, n_texts, n_chars, sentence_n, paragraph_n, round(sentence_mean, 6) AS sentence_mean, round(sentence_spread, 6) AS sentence_spread, round(paragraph_mean, 6) AS paragraph_mean, round(paragraph_spread, 6) AS paragraph_spread, round(burstiness, 6) AS burstiness, sentence_n < 5 AS thin FROM prof",
     "voice_dimensions": f"""
-WITH {DOCS}, {VOICES}, {profile_sql('source')},
-every AS (SELECT d.doc_id, v.slen, v.burst, p.* FROM docs d JOIN prof p USING (source) LEFT JOIN voices v ON v.doc_id = d.doc_id),
+WITH {DOCS}, {VOICES}, {profile_sql('source')}, {UNITS},
+vocab AS (SELECT source, list(unit) AS v FROM (SELECT source, unit FROM counts QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, unit) <= 40) GROUP BY source),
+mine AS (SELECT doc_id, list(unit) AS u FROM units WHERE unit IS NOT NULL GROUP BY doc_id),
+marks(mark) AS (VALUES {", ".join(f"({q(m)})" for m in voice.MARKS)}),
+rates AS (SELECT doc_id, source, mark, length(body) AS n, round(((length(body) - length(replace(body, mark, ''))) / length(mark)) * 1000.0 / length(body), 4) AS r FROM voices, marks),
+prate AS (SELECT source, mark, round(sum(r * n) / sum(n), 4) AS p FROM rates GROUP BY ALL),
+meet AS (SELECT r.doc_id, r.mark, r.r, p.p, sum(r.r) OVER d AS here, sum(p.p) OVER d AS there FROM rates r JOIN prate p ON p.source = r.source AND p.mark = r.mark WHERE r.r > 0 WINDOW d AS (PARTITION BY r.doc_id)),
+punct AS (SELECT doc_id, any_value(here) AS here, CASE WHEN any_value(there) = 0 THEN 0.5 ELSE sum(abs(r / here - p / there)) / 2 END AS mix FROM meet GROUP BY doc_id),
+ptotal AS (SELECT source, sum(p) AS whole FROM prate GROUP BY source),
+every AS (
+  SELECT d.doc_id, v.slen, v.plen, v.burst, p.*, w.v AS vocabulary, m.u AS units, x.here, x.mix, t.whole
+  FROM docs d JOIN prof p USING (source) LEFT JOIN voices v ON v.doc_id = d.doc_id LEFT JOIN vocab w ON w.source = d.source LEFT JOIN mine m ON m.doc_id = d.doc_id LEFT JOIN punct x ON x.doc_id = d.doc_id LEFT JOIN ptotal t ON t.source = d.source
+),
 dims AS (
   SELECT doc_id, 'sentenceLength' AS dimension, CASE WHEN slen IS NOT NULL THEN 1 / (1 + greatest(0, abs(list_avg(slen) - sentence_mean) - greatest(sentence_spread, sentence_mean * 0.2, 1)) / greatest(sentence_spread, sentence_mean * 0.2, 1)) END AS score FROM every
   UNION ALL SELECT doc_id, 'burstiness', CASE WHEN slen IS NOT NULL THEN 1 / (1 + greatest(0, abs(burst - burstiness) - greatest(0.12, burstiness * 0.4)) / greatest(0.12, burstiness * 0.4)) END FROM every
+  UNION ALL SELECT doc_id, 'paragraphLength', CASE WHEN paragraph_n > 0 AND len(plen) >= 3 THEN 1 / (1 + greatest(0, abs(list_avg(plen) - paragraph_mean) - greatest(paragraph_spread, paragraph_mean * 0.25, 1)) / greatest(paragraph_spread, paragraph_mean * 0.25, 1)) END FROM every
+  UNION ALL SELECT doc_id, 'signatureVocabulary', CASE WHEN len(vocabulary) > 0 AND len(units) >= 40 THEN least(1, len(list_intersect(vocabulary, units)) / least(len(vocabulary), greatest(3, floor(len(units) / 25 + 0.5)))) END FROM every
+  UNION ALL SELECT doc_id, 'punctuation', CASE WHEN whole > 0 AND here > 0 THEN greatest(0, least(1, 0.75 * greatest(0, least(1, 1 - mix * 2)) + 0.25 / (1 + greatest(0, abs(ln(greatest(here / whole, 1e-6))) - ln(2)) / ln(2)))) END FROM every
 )
 SELECT doc_id, dimension, round(score, 6) AS score FROM dims
 """,
+    "voice_scores": f"WITH dims AS ({{}}) SELECT doc_id, count(score) AS n_dimensions, round(sum(score * CASE dimension {' '.join(f'WHEN {q(k)} THEN {w}' for k, w in voice.WEIGHTS.items())} END) / sum(CASE WHEN score IS NOT NULL THEN CASE dimension {' '.join(f'WHEN {q(k)} THEN {w}' for k, w in voice.WEIGHTS.items())} END END), 6)::DOUBLE AS voice_score FROM dims GROUP BY doc_id",
     "leave_one_out": f"WITH {DOCS}, {VOICES}, {profile_sql('source')} SELECT v.doc_id, round((p.sentence_mean * p.sentence_n - list_sum(v.slen)) / nullif(p.sentence_n - v.n_sent, 0), 6) AS mean, p.sentence_n - v.n_sent AS n FROM voices v JOIN prof p USING (source)",
     "voice_drift": f"""
 WITH {DOCS}, {VOICES}, {profile_sql('provenance, category')},
@@ -501,3 +518,4 @@ SELECT language, mode, CASE WHEN mode = 'chat' AND language = 'zh' AND short THE
 FROM routed GROUP BY ALL
 """,
 }
+SQL["voice_scores"] = SQL["voice_scores"].replace("{}", SQL["voice_dimensions"].replace("round(score, 6)", "score"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosescan.functions import text as T
-from prosescan.operators import evaluate, registry
+from prosescan.operators import behavior, detectors, evaluate, registry, scoring
+from prosescan.plans import api, lexicon
 from prosescan.sources import corpus
-from prosescan.sources.tables import table
+from prosescan.sources.tables import spread, table
 
 
 def _long(*names: str):
@@ -132,6 +133,44 @@ def score_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("config_id", "score", *_long("n_subject", "n_control"), *_round("separation"))
 
 
+def hypothesis_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each score tells machine-written samples from human-written ones."""
+    return evaluate.hypothesis(score_separation(spark, sf_dir)).select("config_id", "score", "separation", "verdict")
+
+
+def human_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that fire in human-written documents, and in what share of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "provenance", "user_turn", "advice_permission")
+    found = api.scanned(detectors.prepared(docs.where("provenance = 'human-written'"), "doc_id", "text", "provenance")).select("doc_id", F.inline(T.each("merged")))
+    return evaluate.flagged_human_rules(found, docs, "doc_id").select("rule_id", "samples", *_round("share"))
+
+
+def abstention_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in which a behaviour abstained, by the state that stopped it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "user_turn", "advice_permission")
+    stated = F.col("advice_permission").isin("granted", "absent", "unknown")
+    states = docs.select(F.col("doc_id").alias("reply_id"), F.when(stated, F.col("advice_permission")).otherwise("unknown").alias("state"), F.when(stated, "explicit").otherwise("default").alias("source"))
+    return evaluate.abstentions(behavior.outcomes(spread(docs), "doc_id", "text"), states)
+
+
+def configured_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under every configuration: number of rules and scores, null where its families don't measure them; one scan serves all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "user_turn", "advice_permission")
+    rows = api.scanned(detectors.prepared(docs, "doc_id", "text", "user_turn", "advice_permission")).select("doc_id", "text", "found", "behavior")
+    each = []
+    for name, families in lexicon.configs().items():
+        own = F.filter("found", lambda f: f["family"].isin(*families)) if families else F.slice("found", 1, 0)
+        merged = scoring.collapsed(scoring.kept(scoring.judged(own, F.col("text"))))
+        prose = bool(set(families) & set(lexicon.PROSE_FAMILIES))
+        each.append(T.let(merged, _configured(name, prose, "assistant" in families)))
+    return rows.select("doc_id", F.inline(F.array(*each)))
+
+
+def _configured(name: str, prose: bool, assistant: bool):
+    null = F.lit(None).cast("double")
+    return lambda m: F.struct(F.lit(name).alias("config_id"), F.size(m).cast("bigint").alias("n_rules"), (F.round(scoring.anti_ai_score(m), 6) if prose else null).alias("anti_ai_score"), (F.round("behavior.behavior_score", 6) if assistant else null).alias("behavior_score"))
+
+
 STEPS = [("baseline", "anti-only"), ("baseline", "voice-only"), ("baseline", "behaviour-only"), ("anti-only", "anti-voice"), ("anti-voice", "everything"), ("no-suppression", "everything")]
 
 
@@ -239,7 +278,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_dedupe, rule_severity_policies, phrase_ownership, phrase_owners_all_scripts, rule_provenance, registry_statistics, unmapped_signatures, heading_deltas, renumbered_rules, manifest_problems, upstreams_without_rules,
-        corpus_counts, corpus_hash, score_cells, score_flags, score_separation, config_deltas, unmeasured_tally, run_comparison, rule_changes, strata_census, stratified_draw, poststratified_rate,
+        corpus_counts, corpus_hash, score_cells, score_flags, score_separation, hypothesis_verdicts, human_false_positives, abstention_tally, configured_scores, config_deltas, unmeasured_tally, run_comparison, rule_changes, strata_census, stratified_draw, poststratified_rate,
         rule_enrichment, rule_cofiring, rates_per_thousand, coverage_matrix, revenue_rollup, top_parts, events_by_hour, customers_without_orders,
     )
 }
@@ -267,6 +306,13 @@ STRATA = f"strata AS (SELECT doc_id, provenance, text, {BUCKET} AS bucket, conca
 MARKED = STRATA + """, marks AS (SELECT doc_id, provenance, bucket, regexp_matches(text, '[?？]') AS question, regexp_matches(text, '[!！]') AS exclamation, regexp_matches(text, '[“「"]') AS quotation, regexp_matches(text, '[0-9]') AS digit, length(text) AS size, len(regexp_extract_all(text, '[!！]')) AS n_ex FROM strata WHERE text IS NOT NULL)"""
 RULES4 = ["question", "exclamation", "quotation", "digit"]
 
+SEPARATION = f"""
+WITH {RESULTS}, {LONG}, v AS (SELECT *, provenance <> 'human-written' AS subject FROM longs WHERE value IS NOT NULL AND provenance IS NOT NULL),
+n AS (SELECT config_id, score, count(*) FILTER (subject) AS n_subject, count(*) FILTER (NOT subject) AS n_control FROM v GROUP BY ALL),
+w AS (SELECT a.config_id, a.score, sum(CASE WHEN a.value > b.value THEN 1.0 WHEN a.value = b.value THEN 0.5 ELSE 0.0 END) AS won FROM v a JOIN v b ON a.config_id = b.config_id AND a.score = b.score WHERE a.subject AND NOT b.subject GROUP BY ALL)
+SELECT config_id, score, n_subject, n_control, round((won / nullif(n_subject * n_control, 0))::DOUBLE, 6) AS separation FROM n LEFT JOIN w USING (config_id, score)
+"""
+
 SQL = {
     "rule_dedupe": f"WITH {CANDIDATES}, {VOTES} SELECT * FROM canon",
     "rule_severity_policies": f"WITH {CANDIDATES} SELECT signature, coalesce(max(severity), 3)::BIGINT AS max_severity, coalesce(floor(quantile_cont(severity, 0.5) + 0.5), 3)::BIGINT AS median_severity, coalesce(floor(avg(severity) + 0.5), 3)::BIGINT AS mean_severity FROM cands GROUP BY signature",
@@ -304,13 +350,18 @@ UNION ALL SELECT name, 'unknown parent ' || parent FROM parents WHERE parent NOT
 WITH known(category) AS (VALUES {", ".join(f"('{c}')" for c in corpus.DOMAINS["category"])}), c AS (SELECT k.category, count(d.doc_id) AS n FROM known k LEFT JOIN documents d ON d.category = k.category GROUP BY k.category)
 SELECT category, n, CASE WHEN n = 0 THEN 'unpopulated' WHEN n < 20 THEN 'thin' ELSE 'populated' END AS state FROM c
 """,
-    "score_cells": f"WITH {RESULTS}, {LONG} SELECT config_id, category, score, count(value) AS n, count(*) - count(value) AS unmeasured, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS spread, round(min(value), 6) AS least, round(max(value), 6) AS most FROM longs GROUP BY ALL",
+    "score_cells": f"""WITH {RESULTS}, {LONG} SELECT config_id, category, score, count(value) AS n, count(*) - count(value) AS unmeasured, round(sum(value::DECIMAL(28,18))::DOUBLE / count(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
+  round(sqrt(greatest(0, sum((value * value)::DECIMAL(28,18))::DOUBLE / count(value) - (sum(value::DECIMAL(28,18))::DOUBLE / count(value)) * (sum(value::DECIMAL(28,18))::DOUBLE / count(value)))), 6) AS spread, round(min(value), 6) AS least, round(max(value), 6) AS most FROM longs GROUP BY ALL""",
+    "corpus_hash": """
+WITH h AS (SELECT sha256(array_to_string([doc_id::VARCHAR, coalesce(category, ''), coalesce(lang, ''), coalesce(mode, ''), coalesce(provenance, ''), coalesce(text, '')], chr(31))) AS h FROM documents),
+b AS (SELECT h[1:3] AS bucket, count(*) AS n, """ + ", ".join(f"sum(('0x' || h[{1 + 16 * i}:{16 + 16 * i}])::UBIGINT::HUGEINT) AS s{i}" for i in range(4)) + """ FROM h GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS hash FROM (SELECT n, concat_ws(':', bucket, n, s0, s1, s2, s3) AS line FROM b)
+""",
     "score_flags": f"WITH {RESULTS} SELECT config_id, category, count(*) AS n, count(*) FILTER (anti_ai_score < 0.7) AS flagged, count(*) FILTER (behavior_score < 0.75) AS assistant_shaped FROM res GROUP BY ALL",
-    "score_separation": f"""
-WITH {RESULTS}, {LONG}, v AS (SELECT *, provenance <> 'human-written' AS subject FROM longs WHERE value IS NOT NULL AND provenance IS NOT NULL),
-n AS (SELECT config_id, score, count(*) FILTER (subject) AS n_subject, count(*) FILTER (NOT subject) AS n_control FROM v GROUP BY ALL),
-w AS (SELECT a.config_id, a.score, sum(CASE WHEN a.value > b.value THEN 1.0 WHEN a.value = b.value THEN 0.5 ELSE 0.0 END) AS won FROM v a JOIN v b ON a.config_id = b.config_id AND a.score = b.score WHERE a.subject AND NOT b.subject GROUP BY ALL)
-SELECT config_id, score, n_subject, n_control, round((won / nullif(n_subject * n_control, 0))::DOUBLE, 6) AS separation FROM n LEFT JOIN w USING (config_id, score)
+    "score_separation": SEPARATION,
+    "hypothesis_verdicts": f"""
+WITH sep AS ({SEPARATION})
+SELECT config_id, score, separation, CASE WHEN separation IS NULL THEN 'untested' WHEN separation >= 0.6 THEN 'supported' WHEN separation <= 0.4 THEN 'reversed' ELSE 'not separated' END AS verdict FROM sep
 """,
     "config_deltas": f"""
 WITH {RESULTS}, {LONG}, cells AS (SELECT config_id, category, score, avg(value) AS mean FROM longs GROUP BY ALL),

@@ -41,7 +41,12 @@ def read_samples(spark: SparkSession, root: str, only: list[str] | None = None)
 
 
 def front_matter(text: Column) -> Column:
-    """map of the fields between the first two lines of dashes; folded and literal blocks are joined with spaces and line ends."""
+    """map of the fields between the first two lines of dashes; folded and literal blocks are joined with spaces and line ends. A key that comes twice keeps its first value; ``violations`` reports it."""
+    return F.map_from_entries(first_entries(entries(text)))
+
+
+def entries(text: Column) -> Column:
+    """array<struct<k,v>> of the fields of the front matter, in order; a field may come twice."""
     head = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)", 1)
     pairs = F.regexp_extract_all(head, F.lit(r"(?m)^([A-Za-z_]+):[ \t]*((?:[|>][-+]?[ \t]*\r?\n(?:[ \t]+.*\r?\n?|[ \t]*\r?\n)*)|.*)$"), F.lit(0))
 
@@ -51,17 +56,20 @@ def front_matter(text: Column) -> Column:
         literal = F.trim(F.regexp_replace(block, r"(?m)^[ \t]+", ""))
         return F.when(raw.rlike(r"\A\|"), literal).when(raw.rlike(r"\A>"), F.regexp_replace(literal, r"\s*\n\s*", " ")).otherwise(F.regexp_replace(F.trim(raw), r"""\A(["'])(.*)\1\z""", "$2"))
 
-    keyed = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"\A([A-Za-z_]+):", 1).alias("k"), value(p).alias("v")))
-    # a key that comes twice keeps its first value; ``violations`` reports it
-    first = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, 1, i), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(first)
+    return F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"\A([A-Za-z_]+):", 1).alias("k"), value(p).alias("v")))
+
+
+def first_entries(keyed: Column) -> Column:
+    """The entries without those whose key came before."""
+    return F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, 1, i), lambda y: y["k"] == x["k"]))
 
 
 def parsed_samples(files: DataFrame) -> DataFrame:
     """Samples with their fields as columns and the text as ``body``."""
-    rows = files.withColumn("fm", front_matter(F.col("text")))
+    rows = files.withColumn("entries", entries(F.col("text"))).withColumn("fm", F.map_from_entries(first_entries(F.col("entries"))))
     fields = [F.col("fm")[c].alias(c) for c in REQUIRED + OPTIONAL]
-    return rows.select("path", "directory", *fields, trim_all(F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---(?:\r?\n|\z)", "")).alias("body"))
+    repeated = F.size("entries") > F.size("fm")
+    return rows.select("path", "directory", *fields, repeated.alias("repeated_key"), trim_all(F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---(?:\r?\n|\z)", "")).alias("body"))
 
 
 def violations(samples: DataFrame) -> DataFrame:
@@ -72,7 +80,7 @@ def violations(samples: DataFrame) -> DataFrame:
     problems += [
         F.when(~col("id").rlike(ID), F.lit("bad id")), F.when(col("category") != col("directory"), F.lit("category differs from directory")),
         F.when((col("provenance") != "human-written") & col("model").isNull(), F.lit("model missing")), F.when((col("provenance") == "human-written") & col("model").isNotNull(), F.lit("model given")),
-        F.when(col("advice_permission").isNotNull() & col("user_turn").isNull(), F.lit("permission without turn")),
+        F.when(col("advice_permission").isNotNull() & col("user_turn").isNull(), F.lit("permission without turn")), F.when(col("repeated_key"), F.lit("repeated key")),
     ]
     each = samples.select("path", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
     twice = samples.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1 and id is not null").select("path", F.lit("duplicate id").alias("problem"))
@@ -86,19 +94,19 @@ def corpus_counts(samples: DataFrame) -> DataFrame:
     return counts.withColumn("state", F.when(F.col("n") == 0, "unpopulated").when(F.col("n") < THIN_CATEGORY, "thin").otherwise("populated"))
 
 
-def corpus_hash(samples: DataFrame, row_id: str, fields: list[str], buckets: int = 1024) -> DataFrame:
-    """(n, hash): a hash of all samples in order of their ids, over bucket hashes so that no task holds the corpus.
+def corpus_hash(samples: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
+    """(n, hash): a hash of all samples that doesn't depend on their order and that no task needs the corpus for.
 
-    Each sample's hash covers its fields, parted by unit separators, null as empty; buckets are
-    formed by id, hashed in order of their ids' hashes, and hashed together in bucket order.
+    Each sample's SHA-256 covers its id and fields, parted by unit separators, null as empty. The samples fall into 4,096
+    buckets by the first three digits of their digest; a bucket is its number of samples and the sums of the digests' four
+    parts of 16 digits; the hash covers the buckets' lines in order.
     """
     one = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in [row_id, *fields]]), 256)
-    hashed = samples.select(F.pmod(F.xxhash64(row_id), F.lit(buckets)).alias("bucket"), one.alias("h"))
-    # 256-bit sums of row hashes don't depend on order, so a bucket needs no list; four 16-digit parts are summed modulo 2^64
-    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
-    sums = hashed.groupBy("bucket").agg(F.count("*").alias("n"), *parts)
+    hashed = samples.select(one.alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
+    sums = hashed.groupBy(F.substring("h", 1, 3).alias("bucket")).agg(F.count("*").alias("n"), *parts)
     line = F.concat_ws(":", "bucket", "n", *[F.col(f"s{i}").cast("string") for i in range(4)])
-    return sums.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("hash"))
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("hash"))
 
 
 def read_extractions(spark: SparkSession, paths: list[str]) -> DataFrame:
