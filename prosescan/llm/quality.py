@@ -5,11 +5,12 @@ run and the line that may continue over either border. Partial results merge ass
 the chunks of a huge document are merged in a tree, a fan-in at a time; a document of one chunk
 is finished where it is read. Ratios and shapes follow from the merged counts.
 
-A word is a Han character or a run of other letters, marks and digits. Frequent words and
-characters are kept in bounded summaries that cannot miss one that makes up most of a text.
+A word is a Han character or a run of other letters, marks and digits. All counts are exact and
+don't depend on where a text is cut: a run over a border is kept whole until its end is seen, and
+words and characters are counted without a limit. A state never holds more than the text it is of.
 
 Defined results: null, empty and blank texts have zero counts, null ratios and no shape; line
-ends may be mixed; a word longer than ``LONG_WORD`` may count in parts for common words.
+ends may be mixed.
 """
 
 from __future__ import annotations
@@ -29,10 +30,9 @@ from prosescan.functions.scratch import materialize
 #: Characters of a chunk; partial results merged at once.
 CHUNK_CHARS = 16_384
 FAN_IN = 64
-LONG_WORD = 256
-#: Entries that a summary of frequent words or characters keeps.
-KEPT = 512
-#: Characters of a line's opening that are enough to tell an item.
+#: Latin letters beyond which their share of vowels tells a text from random ones.
+LEAST_LETTERS = 24
+#: Characters of a line's opening, behind its blanks, that are enough to tell an item: the longest sign of one has six.
 OPENING = 96
 
 # Words that running text of either language cannot do without.
@@ -104,14 +104,6 @@ def _traits(char: str) -> tuple[bool, bool, bool, bool]:
     return char.isspace(), SYMBOL.match(char) is not None, LATIN_LETTER.match(char) is not None, VOWEL.match(char) is not None
 
 
-def _pruned(counts: Counter) -> Counter:
-    """At most ``KEPT`` entries; the others' largest count is taken off, as in a Misra-Gries summary."""
-    if len(counts) <= KEPT:
-        return counts
-    cut = counts.most_common(KEPT + 1)[-1][1]
-    return Counter({k: n - cut for k, n in counts.items() if n > cut})
-
-
 class Line:
     """State of a line or of the part of it that a chunk holds."""
 
@@ -176,35 +168,40 @@ class Partial:
             setattr(self, s, 0)
         self.words, self.rows = Counter(), Counter()
         self.n_chars = len(text)
-        chars = Counter(text)
-        for c, n in list(chars.items()):
+        self.chars = Counter(text)
+        for c, n in list(self.chars.items()):
             space, symbol, latin, vowel = _traits(c)
             if space:
                 self.n_space += n
-                del chars[c]
-            self.n_symbols += n if symbol else 0
-            self.n_latin += n if latin else 0
-            self.n_vowels += n if vowel else 0
-        self.chars = _pruned(chars)
-        runs = [(m.start(), m.end(), m.group()) for m in RUN.finditer(text)]
+                del self.chars[c]
+            elif symbol:
+                self.n_symbols += n
+            elif latin:
+                self.n_latin += n
+                self.n_vowels += n if vowel else 0
+        runs = RUN.findall(text)
         self.head = self.tail = ""
         self.solid = False
-        open_ = lambda run: not HAN.match(run) and len(run) <= LONG_WORD
-        if runs and runs[0][0] == 0 and open_(runs[0][2]):
-            self.head = runs.pop(0)[2]
+        if runs and text.startswith(runs[0]):
+            self.head = runs.pop(0)
             self.solid = self.head == text
-        if runs and runs[-1][1] == len(text) and open_(runs[-1][2]):
-            self.tail = runs.pop()[2]
-        for run, n in Counter(r for _, _, r in runs).items():
-            self._count(run, n)
-        self.words = _pruned(self.words)
-        breaks = list(BREAK.finditer(text))
+        if runs and text.endswith(runs[-1]):
+            self.tail = runs.pop()
+        n_words = word_chars = good_chars = n_common = 0
+        for run, n in Counter(runs).items():
+            words, size, good, common, unit, repeats = _judged(run)
+            self.words[unit] += repeats * n
+            n_words += words * n
+            word_chars += size * n
+            good_chars += good * n
+            n_common += common * n
+        self.n_words, self.word_chars, self.good_chars, self.common = n_words, word_chars, good_chars, n_common
         self.starts_lf, self.ends_cr = text[:1] == "\n", text[-1:] == "\r"
-        self.one_line = not breaks
-        self.first = Line(text[: breaks[0].start()] if breaks else text)
-        self.last = Line(text[breaks[-1].end() :]) if breaks else None
-        for a, b in zip(breaks, breaks[1:], strict=False):
-            Line(text[a.end() : b.start()]).add_to(self)
+        lines = BREAK.split(text)
+        self.one_line = len(lines) == 1
+        self.first, self.last = Line(lines[0]), None if self.one_line else Line(lines[-1])
+        for line in lines[1:-1]:
+            Line(line).add_to(self)
 
     def _count(self, run: str, n: int = 1) -> None:
         words, size, good, common, unit, repeats = _judged(run)
@@ -224,21 +221,24 @@ class Partial:
             setattr(self, s, getattr(self, s) + getattr(right, s))
         for mine, other in ((self.words, right.words), (self.chars, right.chars), (self.rows, right.rows)):
             mine.update(other)
-        over = (self.head if self.solid else self.tail) + right.head
-        if self.solid and right.solid and len(over) <= LONG_WORD:
-            self.head = over
-        else:
-            if self.solid and len(over) <= LONG_WORD:
-                self.head, over = over, ""
-            elif right.solid and len(over) <= LONG_WORD:
-                self.tail, over, right.tail = over, "", over
-            elif self.solid:
-                self.head = ""
-            if over:
+        left, next_ = self.head if self.solid else self.tail, right.head
+        if left and next_ and bool(HAN.match(left)) == bool(HAN.match(next_)):
+            over, solid = left + next_, self.solid and right.solid
+            if self.solid:
+                self.head, self.tail = over, right.tail
+            elif right.solid:
+                self.tail = over
+            else:
                 self._count(over)
-            self.tail = right.tail
-            self.solid = False
-        self.words, self.chars = _pruned(self.words), _pruned(self.chars)
+                self.tail = right.tail
+            self.solid = solid
+        else:
+            # both runs end at the border; one that reaches the outer border as well is counted when all is merged
+            if not self.solid and left:
+                self._count(left)
+            if not right.solid and next_:
+                self._count(next_)
+            self.tail, self.solid = next_ if right.solid else right.tail, False
         middle = self.first if self.one_line else self.last
         if self.ends_cr and right.starts_lf:
             # one line end came in two parts: the empty line between them doesn't exist
@@ -284,7 +284,7 @@ class Partial:
             out["shape"] = "table"
         elif self.n_filled >= 4 and 3 * self.n_items >= 2 * self.n_filled:
             out["shape"] = "list"
-        elif repeated or ink >= 12 and (self.good_chars < 0.5 * ink or self.n_latin > 0.5 * ink and self.n_vowels < 0.22 * self.n_latin):
+        elif repeated or ink >= 12 and (self.good_chars < 0.5 * ink or self.n_latin > max(0.5 * ink, LEAST_LETTERS) and self.n_vowels < 0.22 * self.n_latin):
             out["shape"] = "junk"
         return out
 
@@ -307,7 +307,7 @@ def text_statistics(texts: DataFrame, row_id: str, text: str, chunk_chars: int =
     chosen = texts.select(texts[row_id].alias("row_id"), F.coalesce(texts[text], F.lit("")).alias("text"))
     whole = F.char_length("text") <= chunk_chars
     cut = F.when(whole, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
-    chunks = chosen.select("row_id", cut.alias("chunks")).select("row_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("k", "chunk"))
+    chunks = chosen.select("row_id", cut.alias("chunks")).select("row_id", F.size("chunks").alias("n"), F.posexplode(F.filter("chunks", lambda c: c.isNotNull())).alias("k", "chunk"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -74,13 +74,21 @@ def test_chunks_give_what_the_whole_text_gives(spark):
     assert quality.text_statistics(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_summaries_keep_what_prevails():
-    text = " ".join(f"w{i}" for i in range(3000)) + " hot" * 20_000
-    parts = [quality.Partial(text[i : i + 5000]) for i in range(0, len(text), 5000)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.merged(p)
-    assert max(whole.words, key=whole.words.get) == "hot" and len(whole.words) <= quality.KEPT
+def test_long_runs_and_hard_shares_are_exact_in_chunks():
+    filler = [f"{a}{b}an" for a in "bcdfghklmnprst" for b in "aeiou"]
+    texts = ["a" * 20_000, "x " + "b1" * 150 + "\n" + "哈" * 300 + "abc" * 90 + " end", "中" * 40 + "w" * 40 + "文" * 40, " " * 200 + "- item\n" + (" " * 150 + "1. two\n") * 5]
+    # a word at a share of 0.75 of all letters, a little more and a little less
+    for k in (-2, 0, 2):
+        texts.append(" ".join(["rope"] * (3000 + k) + (filler * 20)[:1000]))
+    for text in texts:
+        whole = quality.Partial(text).finished()
+        for size in (13, 97, 4096):
+            parts = [quality.Partial(text[i : i + size]) for i in range(0, len(text), size)]
+            while len(parts) > 1:
+                parts = [parts[i].merged(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            assert parts[0].finished() == whole, (size, text[:40])
+    assert quality.Partial("a" * 20_000).finished()["n_words"] == 1
+    assert [quality.Partial(t).finished()["shape"] for t in texts[3:]] == ["list", None, "junk", "junk"]
 
 
 def test_deeply_indented_items_are_seen():
