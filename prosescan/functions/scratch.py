@@ -28,7 +28,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     own = getattr(spark, "_prosescan_scratch", None)
     if own is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="prosescan-")
         spark._prosescan_scratch = own
@@ -56,17 +56,20 @@ class Levels:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.folder = spark, _new_folder(spark, label)
         self.paths: list[str] = []
+        self.schema, self.written = None, 0
 
-    def add(self, level: DataFrame) -> DataFrame | None:
-        """Write the next level and return a DataFrame that reads it, None if it has no rows."""
-        path = f"{self.folder}/{len(self.paths)}"
+    def add(self, level: DataFrame, going: Column | None = None) -> tuple[DataFrame | None, int]:
+        """Write the next level; a DataFrame that reads it, None if it has no rows, and the number of its rows for which ``going`` holds."""
+        path = f"{self.folder}/{self.written}"
+        self.written += 1
         rows = Observation()
-        level.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        going = F.lit(True) if going is None else going
+        level.observe(rows, F.count(F.lit(1)).alias("n"), F.count_if(going).alias("going")).write.parquet(path)
         self.schema = level.schema
         if not rows.get["n"]:
-            return None
+            return None, 0
         self.paths.append(path)
-        return self.read([path])
+        return self.read([path]), rows.get["going"]
 
     def read(self, paths: list[str] | None = None) -> DataFrame:
         """All levels so far, or those at ``paths``."""

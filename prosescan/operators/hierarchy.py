@@ -1,10 +1,13 @@
 """Parent-child links of unknown depth, resolved to full hierarchies.
 
 A level-wise frontier starts from all links and extends each ancestor pair by one link per
-round. A pair whose whole path has one parent at every step cannot be reached twice, so only
-the other pairs are compared with what earlier rounds reached. A pair that comes back to its
-ancestor closes a circle and isn't extended. Paths and depths come from a second frontier that
-starts at the roots; names it never reaches hang below a circle.
+round. A pair whose whole path has one parent at every step cannot be reached twice; such pairs
+have a frontier of their own and meet nothing. Only the others are compared with what earlier
+rounds reached, among ancestors that still have a frontier, and rounds without them compare
+nothing. A pair that comes back to its ancestor closes a circle and isn't extended. Paths and
+depths come from a second frontier that starts at the roots; names it never reaches hang below a
+circle. Parents with many children are split here; a name with many ancestors is one row on the
+links' side and is split by the adaptive skew join.
 
 Defined results: a null or blank name or parent is no name, and its link is dropped; repeated
 rows and repeated parents count once; a parent without a row is a name like any other; an empty
@@ -15,14 +18,17 @@ Columns other than the ones named are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosescan.functions.scratch import Levels, materialize, trimmed
+from prosescan.functions.scratch import Levels, materialize, small_or_shuffled, trimmed
 
 #: Children of one parent that one join task gets; a parent with more is split.
 CHILDREN_PER_SPLIT = 50_000
+#: Rounds after which the pairs to compare with are cut to ancestors that still have a frontier.
+COMPACTED = 4
 
 REMARK = r"\s*[(（](?:[^()（）]|[(（][^()（）]*[)）])*[)）]\s*\z"
 
@@ -55,8 +61,11 @@ def prepared(links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> tuple[Dat
     links = materialize(links, "links")
     counts = links.groupBy("child").agg((F.count("*") == 1).alias("only"))
     large = materialize(links.groupBy("parent").agg(F.ceil(F.count("*") / per_split).cast("int").alias("parts")).where("parts > 1"), "large")
-    whole = links.join(counts, "child").join(F.broadcast(large), "parent", "left")
-    whole = whole.select("parent", "child", "only", F.coalesce(F.pmod(F.xxhash64("child"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    flagged = materialize(links.join(counts, "child"), "links")
+    # whether a pair that ends at the child can go on to a name with several parents
+    forks = flagged.where("not only").select(F.col("parent").alias("child"), F.lit(True).alias("forks")).distinct()
+    whole = flagged.join(forks, "child", "left").fillna(False, ["forks"]).join(F.broadcast(large), "parent", "left")
+    whole = whole.select("parent", "child", "only", "forks", F.coalesce(F.pmod(F.xxhash64("child"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     return materialize(whole, "links"), None if large.isEmpty() else large
 
 
@@ -76,32 +85,63 @@ def closure(links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
     ``distance`` is the fewest links between them; a name on a circle is its own ancestor.
     """
     links, large = prepared(links, per_split)
-    below = links.withColumnRenamed("only", "single")
-    levels = Levels(links.sparkSession, "pairs")
-    level = levels.add(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("name"), F.lit(1).alias("distance"), "only"))
-    while level is not None:
-        found = _children(level.where("ancestor <> name"), below, large)
-        found = found.select("ancestor", F.col("child").alias("name"), (F.col("distance") + 1).alias("distance"), (F.col("only") & F.col("single")).alias("only"))
-        seen = levels.read().where("not only").select("ancestor", "name")
-        level = levels.add(found.distinct().join(seen, ["ancestor", "name"], "left_anti"))
-    return levels.read().select("ancestor", "name", "distance")
+    spark, below = links.sparkSession, links.withColumnsRenamed({"only": "single", "forks": "to_fork"})
+    single, several = below.where("single"), below.where("not single")
+    start = links.select(F.col("parent").alias("ancestor"), F.col("child").alias("name"), F.lit(1).alias("distance"), "only", "forks")
+    going = F.col("ancestor") != F.col("name")
+
+    def next_of(frontier: DataFrame, links: DataFrame) -> DataFrame:
+        found = _children(frontier.where(going).drop("forks", "only"), links, large)
+        return found.select("ancestor", F.col("child").alias("name"), (F.col("distance") + 1).alias("distance"), F.col("to_fork").alias("forks"))
+
+    pure, mixed = Levels(spark, "pure"), Levels(spark, "mixed")
+    lone, forked = pure.add(start.where("only").drop("only"), going & F.col("forks"))
+    others, _ = mixed.add(start.where("not only").drop("only"))
+    seen, kept_from, rounds = None, 0, 0
+    while lone is not None or others is not None:
+        found = [next_of(others, below)] if others is not None else []
+        if forked:
+            found.append(next_of(lone.where("forks"), several))
+        if found:
+            rounds += 1
+            met = mixed.read(mixed.paths[kept_from:]).select("ancestor", "name")
+            met = met if seen is None else met.unionByName(seen)
+            if rounds % COMPACTED == 0:
+                active = reduce(DataFrame.unionByName, [x.select("ancestor") for x in (lone, others) if x is not None]).distinct()
+                met = seen = materialize(met.join(active, "ancestor", "left_semi"), "seen")
+                kept_from = len(mixed.paths)
+            fresh = reduce(DataFrame.unionByName, found).distinct().join(met, ["ancestor", "name"], "left_anti")
+            others, _ = mixed.add(fresh.select("ancestor", "name", "distance", "forks"))
+        else:
+            others = None
+        if lone is not None:
+            lone, forked = pure.add(next_of(lone, single), going & F.col("forks"))
+    shown = ("ancestor", "name", "distance")
+    return pure.read().select(*shown).unionByName(mixed.read().select(*shown))
 
 
 def root_paths(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
     """(name, root, depth, path) of every name that a root reaches, by the shortest path from a root.
 
-    A root has no parent. Names without a row here lie on a circle or only below one.
+    A root has no parent. Names without a row here lie on a circle or only below one. A name with one parent is
+    reached once; only names with several are compared with those reached before.
     """
     links, large = prepared(links, per_split)
     every = names.select("name").union(links.select("parent")).union(links.select("child")).distinct()
     roots = every.join(links.select(F.col("child").alias("name")).distinct(), "name", "left_anti")
-    levels = Levels(links.sparkSession, "paths")
-    level = levels.add(roots.select("name", F.array("name").alias("path")))
-    while level is not None:
-        found = _children(level, links, large).select(F.col("child").alias("name"), F.array_append("path", F.col("child")).alias("path"))
-        found = found.groupBy("name").agg(F.min("path").alias("path"))
-        level = levels.add(found.join(levels.read().select("name"), "name", "left_anti"))
-    return levels.read().select("name", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path")
+    levels, several = Levels(links.sparkSession, "paths"), Levels(links.sparkSession, "several")
+    level, _ = levels.add(roots.select("name", F.array("name").alias("path")))
+    several.schema = level.schema if level is not None else roots.select("name", F.array("name").alias("path")).schema
+    forked = links.where("not only").limit(1).count()
+    again = None
+    while level is not None or again is not None:
+        frontier = reduce(DataFrame.unionByName, [x for x in (level, again) if x is not None])
+        below = lambda rows: _children(frontier, rows, large).select(F.col("child").alias("name"), F.array_append("path", F.col("child")).alias("path"))  # noqa: B023, E731
+        level, _ = levels.add(below(links.where("only")))
+        if forked:
+            found = below(links.where("not only")).groupBy("name").agg(F.min("path").alias("path"))
+            again, _ = several.add(found.join(several.read().select("name"), "name", "left_anti"))
+    return levels.read().unionByName(several.read()).select("name", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path")
 
 
 def resolve(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
@@ -112,8 +152,8 @@ def resolve(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER_SP
     every = names.select("name").union(links.select("parent")).union(links.select("child")).distinct()
     paths = root_paths(names, links, per_split)
     pairs = materialize(closure(links, per_split), "closure")
-    roots = paths.where("depth = 0").select(F.col("name").alias("ancestor"), F.lit(1).alias("is_root"))
-    up = pairs.join(roots, "ancestor", "left").groupBy("name").agg(F.count_if(F.col("ancestor") != F.col("name")).alias("n_ancestors"), F.count("is_root").alias("n_roots"), F.bool_or(F.col("ancestor") == F.col("name")).alias("on_circle"))
+    roots = materialize(paths.where("depth = 0").select(F.col("name").alias("ancestor"), F.lit(1).alias("is_root")), "roots")
+    up = pairs.join(small_or_shuffled(roots), "ancestor", "left").groupBy("name").agg(F.count_if(F.col("ancestor") != F.col("name")).alias("n_ancestors"), F.count("is_root").alias("n_roots"), F.bool_or(F.col("ancestor") == F.col("name")).alias("on_circle"))
     down = pairs.where("ancestor <> name").groupBy(F.col("ancestor").alias("name")).agg(F.count("*").alias("n_descendants"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     return every.join(paths, "name", "left").join(up, "name", "left").join(down, "name", "left").select("name", "root", "depth", "path", zero("n_ancestors"), zero("n_descendants"), zero("n_roots"), F.coalesce("on_circle", F.lit(False)).alias("on_circle"))
@@ -127,7 +167,7 @@ def all_roots(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER_
     links = materialize(links, "links")
     every = names.select("name").union(links.select("parent")).union(links.select("child")).distinct()
     roots = materialize(every.join(links.select(F.col("child").alias("name")).distinct(), "name", "left_anti"), "roots")
-    below = closure(links, per_split).withColumnRenamed("ancestor", "root").join(roots.withColumnRenamed("name", "root"), "root")
+    below = closure(links, per_split).withColumnRenamed("ancestor", "root").join(small_or_shuffled(roots.withColumnRenamed("name", "root")), "root")
     return below.select("name", "root", "distance").unionByName(roots.select("name", F.col("name").alias("root"), F.lit(0).alias("distance")))
 
 
