@@ -1,13 +1,12 @@
 """Parent-child links of unknown depth, resolved to full hierarchies.
 
-A level-wise frontier starts from all links and extends each ancestor pair by one link per
-round. A pair whose whole path has one parent at every step cannot be reached twice; such pairs
-have a frontier of their own and meet nothing. Only the others are compared with what earlier
-rounds reached, among ancestors that still have a frontier, and rounds without them compare
-nothing. A pair that comes back to its ancestor closes a circle and isn't extended. Paths and
-depths come from a second frontier that starts at the roots; names it never reaches hang below a
-circle. Parents with many children are split here; a name with many ancestors is one row on the
-links' side and is split by the adaptive skew join.
+A frontier of ancestor pairs starts from all links. Each round joins the pairs of the last complete
+level k with all pairs of the levels up to k, which gives the levels k + 1 to 2k: a shortest path of
+that length has a shortest path of k links as its first part. So a chain of n links takes log n
+rounds, each pair is found once per way, and a pair found before keeps its smaller distance. A pair
+that comes back to its ancestor closes a circle and isn't extended. Paths and depths come from a
+second frontier, which goes level by level from the roots; names it never reaches hang below a
+circle. A name with many descendants is split, and the pairs above it go to each of its parts.
 
 Defined results: a null or blank name or parent is no name, and its link is dropped; repeated
 rows and repeated parents count once; a parent without a row is a name like any other; an empty
@@ -27,8 +26,6 @@ from prosescan.functions.scratch import Levels, materialize, small_or_shuffled,
 
 #: Children of one parent that one join task gets; a parent with more is split.
 CHILDREN_PER_SPLIT = 50_000
-#: Rounds after which the pairs to compare with are cut to ancestors that still have a frontier.
-COMPACTED = 4
 
 REMARK = r"\s*[(（](?:[^()（）]|[(（][^()（）]*[)）])*[)）]\s*\z"
 
@@ -61,11 +58,8 @@ def prepared(links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> tuple[Dat
     links = materialize(links, "links")
     counts = links.groupBy("child").agg((F.count("*") == 1).alias("only"))
     large = materialize(links.groupBy("parent").agg(F.ceil(F.count("*") / per_split).cast("int").alias("parts")).where("parts > 1"), "large")
-    flagged = materialize(links.join(counts, "child"), "links")
-    # whether a pair that ends at the child can go on to a name with several parents
-    forks = flagged.where("not only").select(F.col("parent").alias("child"), F.lit(True).alias("forks")).distinct()
-    whole = flagged.join(forks, "child", "left").fillna(False, ["forks"]).join(F.broadcast(large), "parent", "left")
-    whole = whole.select("parent", "child", "only", "forks", F.coalesce(F.pmod(F.xxhash64("child"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    whole = links.join(counts, "child").join(F.broadcast(large), "parent", "left")
+    whole = whole.select("parent", "child", "only", F.coalesce(F.pmod(F.xxhash64("child"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     return materialize(whole, "links"), None if large.isEmpty() else large
 
 
@@ -84,40 +78,27 @@ def closure(links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
 
     ``distance`` is the fewest links between them; a name on a circle is its own ancestor.
     """
-    links, large = prepared(links, per_split)
-    spark, below = links.sparkSession, links.withColumnsRenamed({"only": "single", "forks": "to_fork"})
-    single, several = below.where("single"), below.where("not single")
-    start = links.select(F.col("parent").alias("ancestor"), F.col("child").alias("name"), F.lit(1).alias("distance"), "only", "forks")
-    going = F.col("ancestor") != F.col("name")
-
-    def next_of(frontier: DataFrame, links: DataFrame) -> DataFrame:
-        found = _children(frontier.where(going).drop("forks", "only"), links, large)
-        return found.select("ancestor", F.col("child").alias("name"), (F.col("distance") + 1).alias("distance"), F.col("to_fork").alias("forks"))
-
-    pure, mixed = Levels(spark, "pure"), Levels(spark, "mixed")
-    lone, forked = pure.add(start.where("only").drop("only"), going & F.col("forks"))
-    others, _ = mixed.add(start.where("not only").drop("only"))
-    seen, kept_from, rounds = None, 0, 0
-    while lone is not None or others is not None:
-        found = [next_of(others, below)] if others is not None else []
-        if forked:
-            found.append(next_of(lone.where("forks"), several))
-        if found:
-            rounds += 1
-            met = mixed.read(mixed.paths[kept_from:]).select("ancestor", "name")
-            met = met if seen is None else met.unionByName(seen)
-            if rounds % COMPACTED == 0:
-                active = reduce(DataFrame.unionByName, [x.select("ancestor") for x in (lone, others) if x is not None]).distinct()
-                met = seen = materialize(met.join(active, "ancestor", "left_semi"), "seen")
-                kept_from = len(mixed.paths)
-            fresh = reduce(DataFrame.unionByName, found).distinct().join(met, ["ancestor", "name"], "left_anti")
-            others, _ = mixed.add(fresh.select("ancestor", "name", "distance", "forks"))
-        else:
-            others = None
-        if lone is not None:
-            lone, forked = pure.add(next_of(lone, single), going & F.col("forks"))
-    shown = ("ancestor", "name", "distance")
-    return pure.read().select(*shown).unionByName(mixed.read().select(*shown))
+    spark = links.sparkSession
+    shape = ("ancestor", "name", "distance")
+    first = links.select(F.col("parent").alias("ancestor"), F.col("child").alias("name"), F.lit(1).alias("distance")).distinct()
+    levels, reach = Levels(spark, "pairs"), 1
+    level, going = levels.add(first, F.col("ancestor") != F.col("name"))
+    while going:
+        known = levels.read()
+        open_ = known.where("ancestor <> name")
+        frontier = open_.where(F.col("distance") == reach).select("ancestor", F.col("name").alias("mid"), F.col("distance").alias("so_far"))
+        below = open_.select(F.col("ancestor").alias("mid"), "name", "distance")
+        large = below.groupBy("mid").agg(F.ceil(F.count("*") / per_split).cast("int").alias("parts")).where("parts > 1")
+        large = F.broadcast(materialize(large, "large"))
+        split = lambda rows, own: rows.join(large, "mid", "left").withColumn("part", own).drop("parts")  # noqa: B023, E731
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        below = split(below, F.coalesce(F.pmod(F.xxhash64("name"), F.col("parts")), F.lit(0)).cast("int"))
+        found = split(frontier, every).join(below, ["mid", "part"]).groupBy("ancestor", "name").agg(F.min(F.col("so_far") + F.col("distance")).alias("distance"))
+        fresh = found.join(known.select("ancestor", "name"), ["ancestor", "name"], "left_anti").select(*shape)
+        reach *= 2
+        # the next round starts from the pairs at the greatest distance this one can reach
+        level, going = levels.add(fresh, (F.col("distance") == reach) & (F.col("ancestor") != F.col("name")))
+    return levels.read().select(*shape)
 
 
 def root_paths(names: DataFrame, links: DataFrame, per_split: int = CHILDREN_PER_SPLIT) -> DataFrame:
