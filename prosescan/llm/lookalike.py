@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosescan.functions.scratch import small_or_shuffled
+from prosescan.functions.scratch import materialize, small_or_shuffled
 
 # Letters and signs that look like the one before the colon.
 LOOK_ALIKES = """
@@ -76,6 +76,10 @@ W: ԜᎳ
 X: ХΧ
 Y: ΥҮ
 Z: ΖᏃ
+Γ: Г
+Π: П
+Φ: Ф
+κ: к
 """
 SIGNS = {"‐": "-", "‑": "-", "․": ".", "∕": "/", "⁄": "/", "꞉": ":", "∶": ":", "ǃ": "!", "⼁": "丨"}
 #: Compatibility forms that look different from what they stand for.
@@ -129,6 +133,8 @@ class Reader:
     """Reads texts in their most plausible letters; ``bigrams`` has counts of lower-case letter pairs, ^ and $ being the borders of a word."""
 
     def __init__(self, bigrams: dict[str, int]):
+        # scripts of which clean texts were seen; letters of others have no better guess than an even one
+        self.known = {script(c) for pair in bigrams for c in pair if c not in "^$"}
         totals: dict[str, int] = {}
         for pair, n in bigrams.items():
             totals[pair[0]] = totals.get(pair[0], 0) + n
@@ -137,18 +143,21 @@ class Reader:
 
     def _step(self, before: str, char: str) -> float:
         """Score of ``char`` after ``before`` inside a word."""
-        if not _is_latin(before if char == "$" else char):
+        if script(before if char == "$" else char) not in self.known:
             return UNKNOWN
-        pair = before.lower() + char.lower() if _is_latin(before) or before == "^" else "^" + char.lower()
+        follows = before == "^" or char == "$" or script(before) == script(char)
+        pair = (before if follows else "^").lower() + char.lower()
         return self.scores.get(pair, self.rest.get(pair[0], UNKNOWN))
 
     def word(self, word: str, home: str) -> str:
         """The best reading of a decomposed word in a text whose letters are mostly of script ``home``."""
         bases = [c for c in word if not unicodedata.combining(c)]
+        # a letter is only read in a script that the word or its text has
+        there = {script(c) for c in bases} | {home}
         paths: dict[str, tuple[float, str]] = {"^": (0.0, "")}
         for base in bases:
             new: dict[str, tuple[float, str]] = {}
-            for char in dict.fromkeys(base + READINGS.get(base, "")):
+            for char in dict.fromkeys(base + "".join(c for c in READINGS.get(base, "") if script(c) in there)):
                 cost = 0.0 if char == base else CHANGE
                 if home and script(char) not in ("", home):
                     cost += FOREIGN
@@ -165,7 +174,7 @@ class Reader:
         if text.isascii():
             return text
         apart = unicodedata.normalize("NFD", text)
-        doubtful = [m for m in LETTERS.finditer(apart) if any(c in READINGS and not c.isascii() for c in m.group())]
+        doubtful = [m for m in LETTERS.finditer(apart) if any(c in READINGS and not c.isascii() for c in m.group()) or len({script(c) for c in m.group() if script(c)}) > 1]
         if not doubtful:
             return text
         # letters without look-alikes, and plain ones, tell the script that the text is in
@@ -186,14 +195,9 @@ class Reader:
         return unicodedata.normalize("NFC", "".join(out) + apart[at:])
 
 
-@lru_cache(maxsize=100_000)
-def _is_latin(char: str) -> bool:
-    return script(char) == "LATIN"
-
-
 def letter_bigrams(clean: DataFrame, text: str) -> dict[str, int]:
-    """Counts of Latin letter pairs in clean texts. There are at most as many as pairs of Latin letters."""
-    words = clean.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{IsLatin}+"), F.lit(0))).alias("word"))
+    """Counts of letter pairs in clean texts of any alphabet, each script's among its own. There are at most as many as pairs of letters of alphabets."""
+    words = clean.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"), F.lit(0))).alias("word"))
     marked = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("word"))
     pairs = marked.select(F.explode(F.sequence(F.lit(1), F.char_length("word") - 1)).alias("at"), "word").select(F.substring(F.col("word"), F.col("at"), F.lit(2)).alias("pair"))
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}
@@ -221,5 +225,5 @@ def look_alike_matches(texts: DataFrame, row_id: str, text: str, references: Dat
     clean = references.select(F.col(ref_id).alias("ref_id"), F.col(ref_text).alias("ref_text")).where("ref_text <> ''")
     bigrams = bigrams if bigrams is not None else letter_bigrams(clean, "ref_text")
     rows = consistent(texts.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")), "text", "form", bigrams)
-    forms = consistent(clean, "ref_text", "form", bigrams)
+    forms = materialize(consistent(clean, "ref_text", "form", bigrams), "forms")
     return rows.join(small_or_shuffled(forms), "form").where("text <> ref_text").select("row_id", "ref_id")

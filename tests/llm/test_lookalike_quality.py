@@ -26,7 +26,7 @@ def test_matches(spark, refs):
     assert lookalike.look_alike_matches(df, "phrase_id", "text", refs.limit(0), "lex_id", "phrase").count() == 0
 
 
-@pytest.mark.parametrize("text", ["проверка текста", "сухая оговорка в начале", "καθαρή φράση", "câu văn trống rỗng", "žluťoučký odstavec", "سطر فارغ", "言い換えるなら", "👩‍💻 notes", "x² and ½", "größere Floskel"])
+@pytest.mark.parametrize("text", ["проверка текста", "сухая оговорка в начале", "καθαρή φράση", "câu văn trống rỗng", "žluťoučký odstavec", "سطر فارغ", "言い換えるなら", "👩‍💻 notes", "x² and ½", "größere Floskel", "λx and 5μm"])
 def test_lawful_text_stays(refs, text):
     assert lookalike.Reader(lookalike.letter_bigrams(refs, "phrase")).read(text) == text
 
@@ -44,6 +44,15 @@ def test_random_replacements_are_read_back(refs):
         assert reader.read("".join(rng.choice(twins[c]) if c in twins and rng.random() < 0.6 else c for c in text)) == text
 
 
+def test_bigrams_of_other_scripts_read_their_words_back(spark):
+    clean = ["сухая оговорка в начале строки", "проверка текста и поиск слова", "κάθε καθαρή φράση πρέπει να μένει"]
+    reader = lookalike.Reader(lookalike.letter_bigrams(spark.createDataFrame([(t,) for t in clean], "t string"), "t"))
+    assert {"CYRILLIC", "GREEK"} <= reader.known
+    # Latin and Greek letters in Cyrillic words, Latin and Cyrillic ones in Greek words
+    for text, dressed in ((clean[0], clean[0].translate(str.maketrans("аоср", "aοcp"))), (clean[1], clean[1].translate(str.maketrans("екх", "eκx"))), (clean[2], clean[2].translate(str.maketrans("κνο", "кvo")))):
+        assert dressed != text and reader.read(dressed) == reader.read(text) == text
+
+
 @pytest.mark.parametrize(("text", "shape"), [
     ("• one\n• two\n• three\n• four", "list"), ("Title\n1. a b\n2. c d\n\n3. e f\n4. g h", "list"), ("[x] a\n[ ] b\n[x] c\n[ ] d", "list"), ("一、甲\n二、乙\n三、丙\n四、丁", "list"), ("a) x\r\nb) y\r\nc) z\r\nd) w", "list"),
     ("• one\n• two\n• three", None), ("**No** yard.\n**No** lamp.\n**No** rope.\n**No** sea.", None), ("3.14 is pi.\n3.14 is pi.\n3.14 is pi.\n3.14 is pi.", None),
