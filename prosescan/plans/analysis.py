@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prosescan.functions import text as T
 from prosescan.functions.scratch import materialize
-from prosescan.operators import behavior, contract, detectors, protected, scoring, voice
+from prosescan.operators import behavior, contract, detectors, evaluate, protected, scoring, voice
 from prosescan.plans import api, lexicon, patterns
 from prosescan.sources.tables import spread, table
 
@@ -195,6 +195,24 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round("mean", 6).alias("mean"), *_long("n"))
 
 
+def chat_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat habits of every text, blank ones included: messages, their length, bursts, questions and emoji."""
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", voice.chat_features(F.col("text")).alias("c"))
+    return rows.select("doc_id", F.col("c.reply_length.sample_count").cast("bigint").alias("n_messages"), F.col("c.reply_length.mean").alias("mean_length"), F.col("c.reply_length.median").alias("median_length"), "c.burst", "c.question_rate", "c.emoji_rate")
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that decline or package their task, by provenance."""
+    rows = table(spark, sf_dir, "documents").select("provenance", evaluate.is_refusal(F.col("text")).alias("refused"))
+    return rows.groupBy("provenance").agg(F.count("*").alias("n"), F.count_if("refused").alias("n_refused"))
+
+
+def normalized_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watched phrases whose form for matching differs from what was written."""
+    form = T.normalized(F.col("text"))
+    return table(spark, sf_dir, "watch_phrases").select("phrase_id", form.alias("form"), F.col("text")).where("form <> text").select("phrase_id", "form")
+
+
 def voice_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _voices(spark, sf_dir, "provenance", "category")
     profiles = voice.profiles(texts, ["provenance", "category"])
@@ -234,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_stats, lexical_features, rhythm_signals, structure_signals, restated_headings, chinese_signals, english_signals, phrase_hits, template_hits, scan_findings, scan_scores, score_contributions, prose_tells,
-        findings_by_family, turn_overlap, advice_permission, behavior_outcomes, behavior_scores, punctuation_rates, signature_vocabulary, voice_profiles, voice_dimensions, voice_scores, leave_one_out,
+        findings_by_family, turn_overlap, advice_permission, behavior_outcomes, behavior_scores, punctuation_rates, signature_vocabulary, voice_profiles, voice_dimensions, voice_scores, leave_one_out, chat_statistics, refusals, normalized_phrases,
         voice_drift, protected_items, protected_quotes, preservation_scores, strategy_routes, rewrite_contracts,
     )
 }
@@ -485,6 +503,29 @@ dims AS (
 SELECT doc_id, dimension, round(score, 6) AS score FROM dims
 """,
     "voice_scores": f"WITH dims AS ({{}}) SELECT doc_id, count(score) AS n_dimensions, round(sum(score * CASE dimension {' '.join(f'WHEN {q(k)} THEN {w}' for k, w in voice.WEIGHTS.items())} END) / sum(CASE WHEN score IS NOT NULL THEN CASE dimension {' '.join(f'WHEN {q(k)} THEN {w}' for k, w in voice.WEIGHTS.items())} END END), 6)::DOUBLE AS voice_score FROM dims GROUP BY doc_id",
+    "chat_statistics": f"""
+WITH said AS (
+  SELECT doc_id, coalesce(text, '') AS body, list_filter(list_transform(string_split(coalesce(text, ''), '<!-- msg -->'), lambda m: {trim_sql('m')}), lambda m: m <> '') AS ms FROM documents
+), sized AS (SELECT *, len(ms) AS n, list_transform(ms, lambda m: length(m)::DOUBLE) AS sizes FROM said)
+SELECT doc_id, n AS n_messages, coalesce(round(list_avg(sizes), 4), 0)::DOUBLE AS mean_length, coalesce(round(list_median(sizes), 4), 0)::DOUBLE AS median_length, CASE WHEN n <= 1 THEN 0 ELSE round((n - 1) / n, 4) END::DOUBLE AS burst,
+  coalesce(round(len(list_filter(ms, lambda m: regexp_matches(m, '[?？]'))) / nullif(n, 0), 4), 0)::DOUBLE AS question_rate,
+  coalesce(round({n_sql('body', r'[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{1F1E6}-\x{1F1FF}]')} / nullif(n, 0), 4), 0)::DOUBLE AS emoji_rate FROM sized
+""",
+    "refusals": f"SELECT provenance, count(*) AS n, count(*) FILTER (coalesce(regexp_matches(text, {q(evaluate.REFUSAL)}), false)) AS n_refused FROM documents GROUP BY provenance",
+    "normalized_phrases": f"""
+WITH forms AS (SELECT phrase_id, text, {trim_sql("regexp_replace(regexp_replace(regexp_replace(text, '[“”「」『』]', chr(34), 'g'), '[‘’]', chr(39), 'g'), '" + SP + "+', ' ', 'g')")} AS form FROM watch_phrases)
+SELECT phrase_id, form FROM forms WHERE form <> text
+""",
+    "restated_headings": rf"""
+WITH heads AS (
+  SELECT doc_id, coalesce(text, '') AS body, unnest(regexp_extract_all(coalesce(text, ''), '(?m)^#{{1,6}}[ \t]+(.+)$')) AS line FROM documents
+),
+placed AS (SELECT doc_id, regexp_extract(line, '^#+[ \t]+(.+)$', 1) AS head, substr(body, strpos(body, line) + length(line)) AS after FROM heads),
+firsts AS (SELECT doc_id, head, list_filter(list_transform(regexp_split_to_array(after, '\n\s*\n'), lambda b: {trim_sql('b')}), lambda b: b <> '' AND NOT starts_with(b, '#'))[1] AS below FROM placed),
+keyed AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(head), '{INK}+'), lambda w: length(w) > 3)) AS keys, regexp_extract_all(lower({sentences_sql('below')}[1]), '{INK}+') AS words FROM firsts WHERE below IS NOT NULL),
+hits AS (SELECT doc_id, count(*) AS n FROM keyed WHERE len(keys) > 0 AND len(list_filter(words, lambda w: list_contains(keys, regexp_replace(w, '[^a-z]', '', 'g')))) >= greatest(2, ceil(len(keys) * 0.7)) GROUP BY doc_id)
+SELECT doc_id, least(3, coalesce(n, 0)) AS n_restated FROM documents LEFT JOIN hits USING (doc_id)
+""",
     "leave_one_out": f"WITH {DOCS}, {VOICES}, {profile_sql('source')} SELECT v.doc_id, round((p.sentence_mean * p.sentence_n - list_sum(v.slen)) / nullif(p.sentence_n - v.n_sent, 0), 6) AS mean, p.sentence_n - v.n_sent AS n FROM voices v JOIN prof p USING (source)",
     "voice_drift": f"""
 WITH {DOCS}, {VOICES}, {profile_sql('provenance, category')},

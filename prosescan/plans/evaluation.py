@@ -34,24 +34,27 @@ def rule_severity_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("signature").agg(*[registry.severity_by(p, F.col("severity")).cast("bigint").alias(f"{p}_severity") for p in ("max", "median", "mean")])
 
 
-def _owned(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+def phrase_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner of every watched phrase of any script, by the key of ``T.phrase_key``: among the signatures of the rules that watch it, the one with the fewest phrases."""
     rules = registry.clean_candidates(table(spark, sf_dir, "extracted_rules"))
     phrases = table(spark, sf_dir, "watch_phrases").join(rules.select("rule_id", F.col("signature").alias("rule")), "rule_id")
     severities = rules.groupBy(F.col("signature").alias("rule")).agg(F.coalesce(F.max("severity"), F.lit(3)).alias("severity"))
-    return registry.phrase_owners(phrases, severities, key).select("phrase_key", "owner", *_long("n_claimants"))
-
+    return registry.phrase_owners(phrases, severities, T.phrase_key(F.col("text"))).select("phrase_key", "owner", *_long("n_claimants"))
 
-def phrase_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owner of every watched phrase by its ASCII letters and digits, as its SQL has it: among the signatures of the rules that watch it, the one with the fewest phrases.
 
-    Phrases of other scripts share the key of one blank; ``phrase_owners_all_scripts`` keeps them apart.
-    """
-    return _owned(spark, sf_dir, F.lower(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")))
+def phrase_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases by owner: how many it owns, how many of them others claim too, and findings spared by owning them once."""
+    n = F.col("n_claimants")
+    return phrase_ownership(spark, sf_dir).groupBy("owner").agg(F.count("*").alias("n_phrases"), F.count_if(n > 1).alias("n_contested"), F.sum(n - 1).alias("n_spared"))
 
 
-def phrase_owners_all_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owner of every watched phrase of any script, by the key of ``T.phrase_key``."""
-    return _owned(spark, sf_dir, T.phrase_key(F.col("text")))
+def rule_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upstreams' rule numbers in all snapshots, resolved to canonical signatures by what the extracted rules say of them."""
+    found = table(spark, sf_dir, "rule_snapshots").select("upstream", F.col("upstream_rule_id").alias("rule_id")).distinct()
+    specs = table(spark, sf_dir, "signature_specs").select(F.col("signature").alias("rule_id"))
+    claims = table(spark, sf_dir, "extracted_rules").select("upstream", "upstream_rule_id", F.col("signature").alias("rule_id"))
+    none = spark.createDataFrame([], "alias string, rule_id string")
+    return scoring.resolved(found, specs, none, claims.where("upstream_rule_id is not null")).groupBy("upstream").agg(F.count("*").alias("n"), F.count("canonical_id").alias("n_resolved"), F.count_distinct("canonical_id").alias("n_signatures"))
 
 
 def rule_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +280,7 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_dedupe, rule_severity_policies, phrase_ownership, phrase_owners_all_scripts, rule_provenance, registry_statistics, unmapped_signatures, heading_deltas, renumbered_rules, manifest_problems, upstreams_without_rules,
+        rule_dedupe, rule_severity_policies, phrase_ownership, phrase_index_stats, rule_resolution, rule_provenance, registry_statistics, unmapped_signatures, heading_deltas, renumbered_rules, manifest_problems, upstreams_without_rules,
         corpus_counts, corpus_hash, score_cells, score_flags, score_separation, hypothesis_verdicts, human_false_positives, abstention_tally, configured_scores, config_deltas, unmeasured_tally, run_comparison, rule_changes, strata_census, stratified_draw, poststratified_rate,
         rule_enrichment, rule_cofiring, rates_per_thousand, coverage_matrix, revenue_rollup, top_parts, events_by_hour, customers_without_orders,
     )
@@ -306,6 +309,15 @@ STRATA = f"strata AS (SELECT doc_id, provenance, text, {BUCKET} AS bucket, conca
 MARKED = STRATA + """, marks AS (SELECT doc_id, provenance, bucket, regexp_matches(text, '[?？]') AS question, regexp_matches(text, '[!！]') AS exclamation, regexp_matches(text, '[“「"]') AS quotation, regexp_matches(text, '[0-9]') AS digit, length(text) AS size, len(regexp_extract_all(text, '[!！]')) AS n_ex FROM strata WHERE text IS NOT NULL)"""
 RULES4 = ["question", "exclamation", "quotation", "digit"]
 
+SPACES = r"[\s\x0b\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+EDGE = r"""[ !?.,;:()\[\]"''“”。！？，、]+"""
+OWNERSHIP = f"""
+WITH {CANDIDATES},
+claims AS (SELECT DISTINCT c.signature AS rule, regexp_replace(regexp_replace(lower(w.text), '{SPACES}', ' ', 'g'), '^{EDGE}|{EDGE}$', '', 'g') AS phrase_key FROM watch_phrases w JOIN cands c USING (rule_id) WHERE phrase_key <> ''),
+sizes AS (SELECT rule, count(*) AS n FROM claims GROUP BY rule), sev AS (SELECT signature AS rule, coalesce(max(severity), 3) AS s FROM cands GROUP BY signature)
+SELECT phrase_key, rule AS owner, count(*) OVER (PARTITION BY phrase_key) AS n_claimants FROM claims JOIN sizes USING (rule) JOIN sev USING (rule) QUALIFY row_number() OVER (PARTITION BY phrase_key ORDER BY n, s DESC, rule) = 1
+"""
+
 SEPARATION = f"""
 WITH {RESULTS}, {LONG}, v AS (SELECT *, provenance <> 'human-written' AS subject FROM longs WHERE value IS NOT NULL AND provenance IS NOT NULL),
 n AS (SELECT config_id, score, count(*) FILTER (subject) AS n_subject, count(*) FILTER (NOT subject) AS n_control FROM v GROUP BY ALL),
@@ -316,11 +328,12 @@ SELECT config_id, score, n_subject, n_control, round((won / nullif(n_subject * n
 SQL = {
     "rule_dedupe": f"WITH {CANDIDATES}, {VOTES} SELECT * FROM canon",
     "rule_severity_policies": f"WITH {CANDIDATES} SELECT signature, coalesce(max(severity), 3)::BIGINT AS max_severity, coalesce(floor(quantile_cont(severity, 0.5) + 0.5), 3)::BIGINT AS median_severity, coalesce(floor(avg(severity) + 0.5), 3)::BIGINT AS mean_severity FROM cands GROUP BY signature",
-    "phrase_ownership": f"""
-WITH {CANDIDATES},
-claims AS (SELECT DISTINCT c.signature AS rule, lower(regexp_replace(w.text, '[^A-Za-z0-9]+', ' ', 'g')) AS phrase_key FROM watch_phrases w JOIN cands c USING (rule_id) WHERE phrase_key <> ''),
-sizes AS (SELECT rule, count(*) AS n FROM claims GROUP BY rule), sev AS (SELECT signature AS rule, coalesce(max(severity), 3) AS s FROM cands GROUP BY signature)
-SELECT phrase_key, rule AS owner, count(*) OVER (PARTITION BY phrase_key) AS n_claimants FROM claims JOIN sizes USING (rule) JOIN sev USING (rule) QUALIFY row_number() OVER (PARTITION BY phrase_key ORDER BY n, s DESC, rule) = 1
+    "phrase_ownership": OWNERSHIP,
+    "phrase_index_stats": f"WITH owned AS ({OWNERSHIP}) SELECT owner, count(*) AS n_phrases, count(*) FILTER (n_claimants > 1) AS n_contested, sum(n_claimants - 1)::BIGINT AS n_spared FROM owned GROUP BY owner",
+    "rule_resolution": """
+WITH found AS (SELECT DISTINCT upstream, upstream_rule_id AS rule_id FROM rule_snapshots), own AS (SELECT upstream, upstream_rule_id AS rule_id, min(signature) AS s FROM extracted_rules WHERE upstream_rule_id IS NOT NULL GROUP BY ALL)
+SELECT f.upstream, count(*) AS n, count(coalesce(p.signature, o.s)) AS n_resolved, count(DISTINCT coalesce(p.signature, o.s)) AS n_signatures
+FROM found f LEFT JOIN signature_specs p ON p.signature = f.rule_id LEFT JOIN own o ON o.upstream = f.upstream AND o.rule_id = f.rule_id GROUP BY f.upstream
 """,
     "rule_provenance": "WITH p AS (SELECT DISTINCT signature, upstream FROM extracted_rules), k AS (SELECT signature, count(*) AS n FROM p GROUP BY signature) SELECT upstream, count(*) AS total, count(*) FILTER (n = 1) AS exclusive, count(*) FILTER (n > 1) AS shared FROM p JOIN k USING (signature) GROUP BY upstream",
     "registry_statistics": f"WITH {CANDIDATES}, {VOTES} SELECT category, count(*) AS n_rules, count(*) FILTER (weak_alone) AS n_weak, count(*) FILTER (cross_upstream) AS n_cross, round(avg(severity), 6) AS mean_severity FROM canon GROUP BY category",

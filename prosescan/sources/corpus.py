@@ -156,6 +156,11 @@ def load_run(spark: SparkSession, root: str, run_id: str | None = None) -> DataF
     return runs.where(F.col("run_id") == run_id)
 
 
+def list_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, corpus_hash, n) of every saved run, by name; runs of another corpus hash can't be compared."""
+    return spark.read.parquet(root).groupBy("run_id", "corpus_hash").agg(F.count("*").alias("n")).orderBy("run_id")
+
+
 def contained(root: str, path: str) -> str:
     """A path below the root; one that leads out of it is refused."""
     whole = posixpath.normpath(posixpath.join(root, path))
