@@ -106,5 +106,24 @@ def test_phrase_owners_of_all_scripts(spark, tmp_path):
     spark.createDataFrame([(1, "wide", 3), (2, "narrow", 3)], "rule_id long, signature string, severity int").write.parquet(f"{tmp_path}/extracted_rules.parquet")
     texts = [(1, "综上所述"), (1, "值得注意"), (1, "Слово"), (1, "Naïve  idea!"), (1, "!?"), (2, "“综上所述。”"), (2, "not X, but Y")]
     spark.createDataFrame(texts, "rule_id long, text string").write.parquet(f"{tmp_path}/watch_phrases.parquet")
-    got = {r.phrase_key: (r.owner, r.n_claimants) for r in evaluation.QUERIES["phrase_owners_all_scripts"](spark, str(tmp_path)).collect()}
+    got = {r.phrase_key: (r.owner, r.n_claimants) for r in evaluation.QUERIES["phrase_ownership"](spark, str(tmp_path)).collect()}
     assert got == {"综上所述": ("narrow", 2), "值得注意": ("wide", 1), "слово": ("wide", 1), "naïve idea": ("wide", 1), "not x, but y": ("narrow", 1)}
+
+
+def test_false_positives_abstentions_and_verdicts(spark):
+    samples = spark.createDataFrame([(1, "human-written"), (2, "human-written"), (3, "model-generated")], "doc_id long, provenance string")
+    found = spark.createDataFrame([(1, "r"), (1, "r"), (3, "r"), (3, "s")], "doc_id long, rule_id string")
+    assert [tuple(r) for r in evaluate.flagged_human_rules(found, samples, "doc_id").collect()] == [("r", 1, 0.5)]
+    outcomes = spark.createDataFrame([(1, "a", "abstained"), (2, "a", "abstained"), (3, "a", "fired")], "reply_id long, rule_id string, outcome string")
+    states = spark.createDataFrame([(1, "unknown", "default"), (2, "unknown", "explicit"), (3, "absent", "explicit")], "reply_id long, state string, source string")
+    assert {tuple(r) for r in evaluate.abstentions(outcomes, states).collect()} == {("a", "unknown", "default", 1), ("a", "unknown", "explicit", 1)}
+    seps = spark.createDataFrame([(None,), (0.7,), (0.2,), (0.5,)], "separation double")
+    assert [r.verdict for r in evaluate.hypothesis(seps).collect()] == ["untested", "supported", "reversed", "not separated"]
+
+
+def test_repeated_front_matter_keys_are_reported(spark):
+    from prosescan.sources import corpus
+
+    text = "---\nid: en-x-0001\nmode: chat\nmode: prose\n---\nbody\n"
+    samples = corpus.parsed_samples(spark.createDataFrame([("p", "d", text)], "path string, directory string, text string"))
+    assert samples.first().mode == "chat" and "repeated key" in {r.problem for r in corpus.violations(samples).collect()}
