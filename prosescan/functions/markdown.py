@@ -49,16 +49,23 @@ def blockquotes(text: Column) -> Column:
     return F.filter(F.transform(T.extract(text, r"(?md)(?:^[ \t]*>[^\n]*(?:\n|\z))+"), unquoted), lambda q: q != "")
 
 
+# Lines that open a numbered section: a heading with its title, a bold lead, a heading with its number only.
+HEADED = r"^\s{0,3}#{1,6}\s*(\d{1,3})\s*[.、:：)）]?\s+(.+?)\s*#*\s*$"
+LED = r"^\s*\*\*\s*(\d{1,3})\s*[.、:：)）]\s*(.+?)\s*\*\*"
+BARE = r"^\s{0,3}#{1,6}\s*(\d{1,3})\s*$"
+
+
 def numbered_headings(text: Column) -> Column:
     """array<struct<number, title>> by number: headings, bold leads and bare numbers whose title follows; the first of a number counts."""
     ls = lines(text)
     rows = F.transform(F.sequence(F.lit(1), F.size(ls)), lambda i: F.struct(F.try_element_at(ls, i).alias("line"), T.trim_all(F.concat_ws("\n", F.slice(ls, i + 1, 3))).alias("below")))
-    heading, bold, bare = r"^\s{0,3}#{1,6}\s*(\d{1,3})\s*[.、:：)）]?\s+(.+?)\s*#*\s*$", r"^\s*\*\*\s*(\d{1,3})\s*[.、:：)）]\s*(.+?)\s*\*\*", r"^\s{0,3}#{1,6}\s*(\d{1,3})\s*$"
 
     def found(r: Column) -> Column:
         line = r["line"]
-        take = lambda p, title: F.struct(F.regexp_extract(line, p, 1).cast("int").alias("number"), title.alias("title"))
-        return F.when(line.rlike(heading), take(heading, F.trim(F.regexp_extract(line, heading, 2)))).when(line.rlike(bold), take(bold, F.trim(F.regexp_extract(line, bold, 2)))).when(line.rlike(bare), take(bare, F.regexp_replace(F.regexp_extract(r["below"], r"\A([^\n]+)", 1), r"^[*_`]+|[*_`]+$", "")))
+        under = F.regexp_replace(F.regexp_extract(r["below"], r"\A([^\n]+)", 1), r"^[*_`]+|[*_`]+$", "")
+        ways = [(HEADED, F.trim(F.regexp_extract(line, HEADED, 2))), (LED, F.trim(F.regexp_extract(line, LED, 2))), (BARE, under)]
+        each = F.array(*[F.when(line.rlike(p), F.struct(F.regexp_extract(line, p, 1).cast("int").alias("number"), title.alias("title"))) for p, title in ways])
+        return F.get(F.filter(each, lambda h: h.isNotNull()), 0)
 
     hits = F.filter(F.transform(rows, found), lambda h: h.isNotNull() & (h["title"] != ""))
     start = F.array().cast("array<struct<number:int,title:string>>")
@@ -85,13 +92,31 @@ def copyright_holders(text: Column) -> Column:
     return F.transform(F.filter(F.transform(lines(text), T.trim_all), lambda x: x.rlike(r"(?i)^copyright\b")), lambda x: F.regexp_replace(x, r"\s+", " "))
 
 
+# A licence's family, then the phrases it is known by; all parts between bars must be there, each by one of its ways between slashes. The first that fits counts.
+LICENCES = """
+AGPL: gnu affero general public license
+LGPL: gnu lesser general public license
+GPL: gnu general public license
+Apache-2.0: apache license | version 2.0
+BSD-3-Clause: bsd 3-clause / redistribution and use in source and binary forms | neither the name of the copyright holder
+BSD-2-Clause: bsd 3-clause / redistribution and use in source and binary forms
+MIT: mit license / permission is hereby granted, free of charge
+MPL-2.0: mozilla public license
+ISC: isc license
+"""
+
+
 def license_family(text: Column) -> Column:
-    """A licence's family by the words that it is known by; the first that fits."""
+    """A licence's family by the table above; 'unknown' for null and for a text that fits none."""
+    table = [line.split(": ", 1) for line in LICENCES.strip().split("\n")]
+    known = F.array(*[F.struct(F.lit(name).alias("family"), F.array(*[F.array(*[F.lit(way) for way in part.split(" / ")]) for part in parts.split(" | ")]).alias("parts")) for name, parts in table])
     low = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda s: F.contains(low, F.lit(s))
-    bsd = has("bsd 3-clause") | has("redistribution and use in source and binary forms")
-    return (
-        F.when(has("gnu affero general public license"), "AGPL").when(has("gnu lesser general public license"), "LGPL").when(has("gnu general public license"), "GPL")
-        .when(has("apache license") & has("version 2.0"), "Apache-2.0").when(bsd & has("neither the name of the copyright holder"), "BSD-3-Clause").when(bsd, "BSD-2-Clause")
-        .when(has("mit license") | has("permission is hereby granted, free of charge"), "MIT").when(has("mozilla public license"), "MPL-2.0").when(has("isc license"), "ISC").otherwise("unknown")
-    )
+    fits = F.filter(known, lambda k: F.forall(k["parts"], lambda ways: F.exists(ways, lambda way: F.contains(low, way))))
+    return F.coalesce(F.get(fits, 0)["family"], F.lit("unknown"))
+
+
+def license_delta(before: Column, after: Column) -> Column:
+    """struct<before, after, changed, lost>: the families of two versions of a licence and the copyright lines that the later one lacks; a missing version is empty."""
+    old, new = license_family(before), license_family(after)
+    lost = F.array_except(copyright_holders(F.coalesce(before, F.lit(""))), copyright_holders(F.coalesce(after, F.lit(""))))
+    return F.struct(old.alias("before"), new.alias("after"), (old != new).alias("changed"), lost.alias("lost"))

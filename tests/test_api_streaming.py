@@ -45,6 +45,10 @@ def test_markdown(spark):
     watched = one(spark, markdown.watch_list(F.lit('"delve", in the realm of (figurative, mostly); not X but Y；赋能')))
     assert [(w.text, w.note, w.kind) for w in watched] == [("delve", None, "literal"), ("in the realm of", "figurative, mostly", "literal"), ("not X but Y", None, "template"), ("赋能", None, "literal")]
     assert one(spark, markdown.license_family(F.lit("MIT License\n\nCopyright (c)  2031 A"))) == "MIT" and one(spark, markdown.license_family(F.lit(None).cast("string"))) == "unknown"
+    bsd = "Redistribution and use in source and binary forms\nCopyright 2031 B\n"
+    assert one(spark, markdown.license_family(F.lit(bsd))) == "BSD-2-Clause" and one(spark, markdown.license_family(F.lit(bsd + "Neither the name of the copyright holder"))) == "BSD-3-Clause"
+    delta = one(spark, markdown.license_delta(F.lit(bsd), F.lit("MIT License")))
+    assert (delta.before, delta.after, delta.changed, delta.lost) == ("BSD-2-Clause", "MIT", True, ["Copyright 2031 B"])
     assert one(spark, markdown.copyright_holders(F.lit("x\n Copyright (c)  2031 A\ny"))) == ["Copyright (c) 2031 A"]
 
 
