@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prosescan.functions import text as T
 from prosescan.operators import behavior, detectors, evaluate, registry, scoring
-from prosescan.plans import api, lexicon
+from prosescan.plans import analysis, api, lexicon
 from prosescan.sources import corpus
 from prosescan.sources.tables import spread, table
 
@@ -375,6 +375,12 @@ SELECT sum(n)::BIGINT AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS h
     "hypothesis_verdicts": f"""
 WITH sep AS ({SEPARATION})
 SELECT config_id, score, separation, CASE WHEN separation IS NULL THEN 'untested' WHEN separation >= 0.6 THEN 'supported' WHEN separation <= 0.4 THEN 'reversed' ELSE 'not separated' END AS verdict FROM sep
+""",
+    "abstention_tally": f"""
+WITH {analysis.SMELLS}
+SELECT rule_id, CASE WHEN d.advice_permission IN ('granted', 'absent', 'unknown') THEN d.advice_permission ELSE 'unknown' END AS state,
+  CASE WHEN d.advice_permission IN ('granted', 'absent', 'unknown') THEN 'explicit' ELSE 'default' END AS source, count(*) AS n
+FROM outcomes o JOIN documents d USING (doc_id) WHERE outcome = 'abstained' GROUP BY ALL
 """,
     "config_deltas": f"""
 WITH {RESULTS}, {LONG}, cells AS (SELECT config_id, category, score, avg(value) AS mean FROM longs GROUP BY ALL),

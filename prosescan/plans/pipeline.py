@@ -72,6 +72,12 @@ SELECT n.name, b.path[1] AS root, len(b.path) - 1 AS depth, array_to_string(b.pa
   (SELECT count(*) FROM pairs p WHERE p.name = n.name AND p.ancestor IN (SELECT name FROM roots)) AS n_roots,
   EXISTS (SELECT 1 FROM pairs p WHERE p.ancestor = n.name AND p.name = n.name) AS on_circle
 FROM names n LEFT JOIN best b ON b.name = n.name
+""",
+    "p1_roots": f"""
+WITH RECURSIVE {LINKS},
+names AS (SELECT lower(trim(name)) AS name FROM manifest UNION SELECT parent FROM links UNION SELECT child FROM links),
+roots AS (SELECT name FROM names WHERE name NOT IN (SELECT child FROM links))
+SELECT name, ancestor AS root, distance FROM pairs WHERE ancestor IN (SELECT name FROM roots) UNION ALL SELECT name, name, 0 FROM roots
 """,
     "p5_found": """
 WITH snaps AS (
